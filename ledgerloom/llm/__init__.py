@@ -5,11 +5,17 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
+from .chat import op2_chat
+from .exact_dedup import op9_exact_dedup, op9_sql
 from .mixing import op8_mixing, op8_sql
 from .sharding import op4_sharding, op4_sql
 
 QUERIES = {
+    "op2_chat": op2_chat,
+    "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
     "op8_mixing": op8_mixing,
+    "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES = {"op4_sharding": op4_sql, "op8_mixing": op8_sql}
+ORACLES = {"op4_sharding": op4_sql, "op8_mixing": op8_sql, "op9_exact_dedup": op9_sql}

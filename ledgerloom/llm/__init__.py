@@ -9,13 +9,17 @@ from .bpe import op3_bpe
 from .chat import op2_chat
 from .exact_dedup import op9_exact_dedup, op9_sql
 from .mixing import op8_mixing, op8_sql
+from .simhash import op6_simhash
 from .sharding import op4_sharding, op4_sql
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op2_chat": op2_chat,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op6_simhash": op6_simhash,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op4_sharding": op4_sql, "op8_mixing": op8_sql, "op9_exact_dedup": op9_sql}

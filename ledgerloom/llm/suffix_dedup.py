@@ -149,7 +149,8 @@ def candidates(slim: DataFrame, scratch: Scratch, length: int = LENGTH, rounds:
     """Anchors whose q-gram bucket has another, with ``whole``: the bucket's contexts are all equal."""
     rows = scratch.keep(slim.mapInArrow(_anchor_rows(length, rounds), _ANCHORS), "anchors")
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b"))
-    grams = grams.filter("c > 1").select("gram", (F.col("a") == F.col("b")).alias("whole"))
+    # written first: a join right above an aggregate would keep its dealing, which cannot be split
+    grams = scratch.keep(grams.filter("c > 1").select("gram", (F.col("a") == F.col("b")).alias("whole")), "grams")
     out = scratch.keep(rows.join(grams, "gram"), "candidates")
     scratch.drop("anchors")
     release(slim.sparkSession)
@@ -164,7 +165,7 @@ def representatives(cand: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     contexts = mixed.groupBy("gram", "root").agg(F.count("*").alias("members"), first, F.max("rh").alias("rh"), F.max("lh").alias("lh"))
     contexts = scratch.keep(contexts.select("gram", "root", "members", "f.*", "rh", "lh"), "contexts")
     side = lambda c: contexts.filter(f"{c} <> 0").groupBy("gram", c).agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gram").alias("g"), F.col(c).alias("h"))
-    right, left = side("rh"), side("lh")
+    right, left = scratch.keep(side("rh"), "right"), scratch.keep(side("lh"), "left")
     marked = contexts.join(right.withColumn("has_r", F.lit(True)), (F.col("gram") == F.col("g")) & (F.col("rh") == F.col("h")), "left").drop("g", "h")
     marked = marked.join(left.withColumn("has_l", F.lit(True)), (F.col("gram") == F.col("g")) & (F.col("lh") == F.col("h")), "left").drop("g", "h")
     marked = marked.withColumn("has_r", F.coalesce("has_r", F.lit(False))).withColumn("has_l", F.coalesce("has_l", F.lit(False)))

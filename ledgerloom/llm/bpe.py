@@ -24,6 +24,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -34,7 +35,7 @@ from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of one generation of a store of results: words cost most to compute.
-STORE, WORD_STORE = 150_000, 400_000
+STORE, WORD_STORE = 100_000, 200_000
 #: How byte-level vocabularies cut texts before merging (fixed value).
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = 1 << 62
@@ -181,6 +182,12 @@ class Codec:
             out += [str(self.added[part])] if part in self.added else self._plain(part)
         return out
 
+    def forget(self) -> None:
+        """Empties the stores: a worker that lives on for other work keeps the vocabulary only."""
+        for store in (self.word, self.stretch, self.spaced, self.text):
+            store.clear()
+            store.old = {}
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.pieces(text) for i in p.split(",")]
 
@@ -204,9 +211,12 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=[*names, "token_ids", "n_tokens"])
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
+            ids = [np.fromstring(",".join(c.pieces(t or "")), np.int32, sep=",") for t in batch.column(names.index(text_col)).to_pylist()]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], names=[*names, "token_ids", "n_tokens"])
+        c.forget()
 
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -221,7 +231,7 @@ def decode(df: DataFrame, ids_col: str = "token_ids", path: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             texts = [c.decode(x or []) for x in batch.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
@@ -245,6 +255,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ids.append(hashlib.sha256(joined.encode()).hexdigest())
                     texts.append(hashlib.sha256(c.decode_pieces(pieces).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ the string) and the receiving partitions insert the full strings into tries of t
 terminal node holds the row that stays (most code points in the original text, then smallest
 doc_id), the number of rows, and how many rows tie with the one that stays.
 
-A trie holds at most ``budget`` bytes. Beyond it the largest subtree under the root is spilled:
+A trie holds at most ``budget`` bytes (or one string). Beyond it the largest subtree under the root is spilled:
 its terminals are emitted, and what reaches that subtree later passes straight through. On the
 first side that only lets a few more rows through; on the second the spilled rows are dealt anew
 among more partitions until none is left. A spilled subtree is never used again, so no text is
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents
 
 SPACE = b" \t\n\x0b\x0c\r"
-BUDGET = 48 << 20
+BUDGET = 24 << 20
 NODE_BYTES = 400
 OUT_BYTES = 4 << 20
 _LAST = 1 << 63  # a null id, as a rank
@@ -67,7 +67,7 @@ class Owners:
 
     def __init__(self, merge: Callable, budget: int = BUDGET):
         self.merge, self.budget = merge, budget
-        self.root, self.held, self.sizes, self.spilled = Node(b""), 0, {}, set()
+        self.root, self.held, self.ends, self.sizes, self.spilled = Node(b""), 0, 0, {}, set()
 
     def put(self, key: bytes, record, weight: int) -> list:
         """Records this insertion pushed out; the own one if its subtree is spilled."""
@@ -105,10 +105,14 @@ class Owners:
             break
         self.sizes[top] = self.sizes.get(top, 0) + weight + NODE_BYTES
         self.held += weight + NODE_BYTES
+        self.ends += 1
         out = []
-        while self.held > self.budget and self.sizes:
+        # one string alone always fits: dealt among more partitions, every spilled string comes to that
+        while self.held > self.budget and self.ends > 1:
             big = max(self.sizes, key=self.sizes.get)
-            out += self._ends(self.root.kids.pop(big))
+            gone = self._ends(self.root.kids.pop(big))
+            out += gone
+            self.ends -= len(gone)
             self.held -= self.sizes.pop(big)
             self.spilled.add(big)
         return out
@@ -169,7 +173,7 @@ def _steps(names: list[str], id_col: str, text_col: str, carry: bool, budget: in
 
             def rows() -> Iterator:
                 nonlocal schema
-                for batch in batches:
+                for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
                     meta = 0 if first else 6
                     if schema is None:
                         schema = pa.schema(
@@ -225,7 +229,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     schema = f"_x_len bigint, _x_sha binary, _x_rows bigint, _x_ties bigint, _x_cps bigint, _x_spilled boolean, {kinds}"
     todo, done, k = docs.mapInArrow(first, schema), None, 0
     while True:
-        dealt = todo.repartition("_x_len", "_x_sha") if k == 0 else todo.repartition(16 * 4**k, "_x_sha", "_x_len", F.lit(k))
+        dealt = todo.repartition("_x_len", "_x_sha") if k == 0 else todo.repartition(8 * 4**k, "_x_sha", "_x_len", F.lit(k))
         out = scratch.keep(dealt.mapInArrow(second, schema), f"owners{k}")
         part = out.filter("NOT _x_spilled").drop("_x_spilled")
         done = part if done is None else done.unionByName(part)
@@ -237,7 +241,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, code points, length and SHA-256 of the text without white space."""
-    for batch in batches:
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         texts = _plain(batch.column(1))
         keys = [(x or b"").translate(None, SPACE) for x in texts]
         yield pa.RecordBatch.from_arrays(

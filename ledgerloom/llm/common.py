@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         return at
     app = sc.applicationId
     if app not in _own:
-        _own[app] = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
+        _own[app] = sc.getCheckpointDir() or ""
+        if not _own[app]:
+            folder = tempfile.mkdtemp(prefix="ledgerloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = f"file://{folder}"
         sc.setCheckpointDir(_own[app])
     return _own[app]
 
@@ -57,11 +64,12 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps now rather than at some later collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of finished steps now rather than at some later collection. The
+    cleaner works beside the driver: it is given a moment, and a second round for what the first freed."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def draw52(*parts: Column) -> Column:

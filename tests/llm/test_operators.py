@@ -267,7 +267,7 @@ def test_simhash_components(spark, odd, empty):
         words = list(base)
         words[int(rng.integers(0, 300))] = f"new{k}"
         rows.append((200 + k, " ".join(words), "a"))
-    got = simhash.clusters(docs(spark, rows).withColumn("fp", F.lit("clash"))).collect()
+    got = simhash.clusters(docs(spark, rows).withColumn("fp", F.lit("clash")), passes=2).collect()
     fps = [brute_fingerprint(t, 4) for _, t, _ in rows]
     parent = list(range(len(rows)))
 

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, keep: Callable) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, keep: Callable) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = keep(down.groupBy("u").agg(F.min("v").alias("m")))
     rest = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """u, v: every node that is not its component's smallest, with that smallest node. Edges have
-    u and v of one orderable type. Each round is written to the shared folder, so a lost executor
-    repeats at most one round; a node with very many neighbours is one key of joins that the
-    adaptive planner splits and of aggregates that combine before the shuffle."""
+    u and v of one orderable type. Each step is written to the shared folder, so a lost executor
+    repeats at most one; a node with very many neighbours is one key of aggregates that combine
+    before the shuffle and of joins that the adaptive planner splits (the least neighbours are
+    written first, since a join right above their aggregate could not be split)."""
     e = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges0")
     before, k = None, 0
     while True:
@@ -33,6 +36,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before or state.n == 0:
             return e
         before, k = state, k + 1
-        e = scratch.keep(_small_star(_large_star(e)), f"edges{k}")
-        if k > 1:
-            scratch.drop(f"edges{k - 2}")
+        large = scratch.keep(_large_star(e, lambda x: scratch.keep(x, f"least{k}")), f"large{k}")  # noqa: B023
+        e = scratch.keep(_small_star(large, lambda x: scratch.keep(x, f"least{k}s")), f"edges{k}")  # noqa: B023
+        for name in (f"edges{k - 1}", f"least{k}", f"large{k}", f"least{k}s"):
+            scratch.drop(name)

@@ -10,7 +10,7 @@ What is met at one variant lies pairwise within the radius, so links to the smal
 there keep components whole without all pairs, and no variant can gather more than the ball's
 size however many near copies there are. Copies collapse to one fingerprint before anything is
 emitted. Variants travel packed, in ``passes`` slices of the variant space whose shuffle files are
-dropped one after the other, which bounds the disk used at a quarter of the whole. Components are
+dropped one after the other, so that the disk holds a slice or two of eight. Components are
 found by star rounds on links between distinct fingerprints.
 
 Cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a
@@ -33,9 +33,9 @@ from .common import Scratch, documents, release
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-PASSES = 4
+PASSES = 8
 #: Variants that one receiving task sorts, and that a sending task holds before it packs them.
-TASK_VARIANTS, PACK_VARIANTS = 2_500_000, 1_500_000
+TASK_VARIANTS, PACK_VARIANTS = 1_250_000, 1_500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,12 +75,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
-            hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(hashes)], names=["doc_id", "fp", "text_hash"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fps = np.array([fingerprint(x or b"", shingle) for x in part.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), part.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     return slim.mapInArrow(run, "doc_id bigint, fp bigint, text_hash bigint")
 
 
@@ -178,8 +178,8 @@ def linked(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, passes: int =
     dealt = distinct.repartition(senders)
     out = None
     for this in range(passes):
-        sent = dealt.mapInArrow(_send(radius, passes, this, parts * 8), "part int, variants binary, masks binary")
-        met = scratch.keep(sent.repartition(parts, "part").mapInArrow(_meet(radius), "u bigint, v bigint"), f"links{this}")
+        sent = dealt.mapInArrow(_send(radius, passes, this, parts), "part int, variants binary, masks binary")
+        met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(radius), "u bigint, v bigint"), f"links{this}")
         out = met if out is None else out.unionByName(met)
         del sent
         release(spark)
@@ -206,22 +206,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataF
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
     by = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     stay = keys.groupBy(by.alias("_by")).agg(F.min(order).alias("k")).select(F.col("k.b").alias("_k"), F.col("k.c").alias("_h"))
-    marked = _with_hash(docs)
+    marked = docs.withColumn("_x_hash", F.xxhash64("text"))
     on = marked["doc_id"].cast("long").eqNullSafe(stay["_k"]) & (marked["_x_hash"] == stay["_h"])
     return marked.join(stay, on, "left_semi").select(*docs.columns)
 
 
-def _with_hash(docs: DataFrame) -> DataFrame:
-    names = docs.columns
-    at = names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.array([xxhash.xxh3_64_intdigest(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h)], names=[*names, "_x_hash"])
-
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _x_hash bigint")
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,23 +19,23 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """(text, label) of at most per_class rows of each class that are not held out, those of least
-    hash, and how many rows each class has. The sample's size is bounded, so it goes to the driver."""
+    hash of the doc_id, and how many rows each class has. The ids are taken before texts are joined,
+    and a doc_id gives one text (the least of several), so what goes to the driver is bounded."""
     ok = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ok = ok.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in ok.groupBy("label").count().collect()}
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1)
     picked = None
-    for label, n in sorted(counts.items()):
-        top = min(2**63 - 1, int(1.1 * per_class / n * 2**63) + 2**56)
-        some = ok.filter((F.col("label") == label) & (h <= F.lit(top)))
+    for label in sorted(counts):
+        some = ok.filter(F.col("label") == label).orderBy(h, "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return [], counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows = sorted(((r.label, r.doc_id, r.text or "") for r in rows))
     out: list[tuple[str, int]] = []
     for label in counts:
-        out += [(text, label) for x, _, text in rows if x == label][:per_class]
+        out += [(text, label) for x, _, text in rows if x == label]
     return without_copies(out), counts
 
 

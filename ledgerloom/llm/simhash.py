@@ -13,6 +13,9 @@ emitted. Variants travel packed, in ``passes`` slices of the variant space whose
 dropped one after the other, so that the disk holds a slice or two of eight. Components are
 found by star rounds on links between distinct fingerprints.
 
+``near_dedup`` looks for texts of a given similarity of shingle sets, which one word within four bits
+mostly misses: it ball-hashes 32 parts of a signature of 256 bits and verifies each candidate pair.
+
 Cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a
 shingle are hashed as one; a null doc_id counts in no component's smallest id, so a component of
 such rows only has a null id; an empty table gives an empty result; long texts are hashed whole.
@@ -36,29 +39,38 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 PASSES = 8
 #: Variants that one receiving task sorts, and that a sending task holds before it packs them.
 TASK_VARIANTS, PACK_VARIANTS = 1_250_000, 1_500_000
+#: Near-dedup: similarity of shingle sets that links, words of a signature, orders in which its bits
+#: are cut into 32-bit parts, and radius within a part.
+SIMILARITY, WORDS, ORDERS, PART_RADIUS = 0.8, 4, 4, 2
+#: Candidates differ in at most FAR bits of 64 (similar texts in about 10, others in about 32). Up to
+#: ALL_PAIRS nodes at one variant meet in all pairs, more of them with the first and the NEXT ones.
+FAR, ALL_PAIRS, NEXT = 20, 8, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def masks(bits: int) -> np.ndarray:
-    """All 64-bit words with at most so many bits set, none first."""
+def masks(bits: int, width: int = 64) -> np.ndarray:
+    """All words of that width with at most so many bits set, none first."""
     out = [0]
     for k in range(1, bits + 1):
-        out += [sum(1 << i for i in c) for c in combinations(range(64), k)]
+        out += [sum(1 << i for i in c) for c in combinations(range(width), k)]
     return np.array(out, np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; none for a blank text."""
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     h, n = xxhash.xxh64_intdigest, len(words)
     if n <= shingle:
-        return h(joined, SEED)
+        return np.array([h(joined, SEED)] if n else [], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], stops[: n - shingle] + 1)).tolist()
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    return majority(hashes)
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -199,14 +211,173 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, pass
     return fps.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay, one of each component: smallest doc_id (nulls last), then the
-    smallest hash of the text; of rows alike in both, all stay (exact dedup takes those)."""
-    keys = Scratch(docs.sparkSession, "near").keep(clusters(docs, shingle, radius).withColumn("_id", F.col("doc_id").cast("string")), "keys")
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))
-    by = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    stay = keys.groupBy(by.alias("_by")).agg(F.min(order).alias("k")).select(F.col("k.b").alias("_k"), F.col("k.c").alias("_h"))
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """WORDS fingerprints of one set of shingle hashes, the hashes mixed anew for each."""
+    out = np.zeros(WORDS, np.uint64)
+    for k in range(WORDS if len(hashes) else 0):
+        mixed = (hashes ^ np.uint64(k)) * _MIX
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[k] = majority(mixed ^ (mixed >> np.uint64(32)))
+    return out
+
+
+def _signatures(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sigs = [signature(np.unique(shingle_hashes(x or b"", shingle))).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary())], names=["node", "sig"])
+
+    return run
+
+
+def bit_parts(sigs: np.ndarray) -> np.ndarray:
+    """Rows of WORDS words to rows of 32-bit parts: the bits are cut in ORDERS orders."""
+    bits = np.unpackbits(sigs.view(np.uint8).reshape(len(sigs), -1), axis=1, bitorder="little")
+    draw = np.random.default_rng(SEED)
+    orders = [draw.permutation(bits.shape[1]) for _ in range(ORDERS)]
+    return np.concatenate([np.ascontiguousarray(np.packbits(bits[:, o], axis=1, bitorder="little")).view(np.uint32) for o in orders], axis=1)
+
+
+def _send_parts(passes: int, this: int, parts: int):
+    """The variants of one slice's signature parts (part number above, 32 bits below), packed by the
+    part of the shuffle that they meet in, each with its node, the signature's first word and mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ball = masks(PART_RADIUS // 2, 32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
+                nodes = piece.column(0).to_numpy(zero_copy_only=False)
+                sigs = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+                mark = piece.column(2).to_numpy(zero_copy_only=False)
+                found = bit_parts(sigs)
+                mine = np.arange(this, found.shape[1], passes)
+                keys = found[:, mine].astype(np.uint64) | (mine.astype(np.uint64) << np.uint64(32))
+                variants = (keys[:, :, None] ^ ball).reshape(-1)
+                row = np.repeat(np.arange(len(nodes)), len(mine) * len(ball))
+                part = (((variants * _MIX) >> np.uint64(24)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, variants, row = part[order], variants[order], row[order]
+                cuts = np.flatnonzero(np.diff(part)) + 1
+                spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)) if len(part) else []
+                packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (variants, nodes[row], sigs[row, 0], mark[row])]
+                yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *packed], names=["part", "variants", "nodes", "words", "marks"])
+
+    return run
+
+
+def _meet_parts(most: int, beyond: int):
+    """Candidate pairs of nodes that share a variant, differ in at most FAR bits of their first word and
+    are not known to be linked; of nodes known to be linked two stand at a variant for all. Up to ``most`` nodes at a variant meet in all pairs; of more, each
+    meets the first and the next ``beyond``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for k in range(4):
+                got[k] += [np.frombuffer(x, np.int64 if k in (1, 3) else np.uint64) for x in batch.column(k + 1).to_pylist()]
+        if not got[0]:
+            return
+        v, node, word, mark = (np.concatenate(x) for x in got)
+        del got
+        s = np.sort(v)
+        shared = np.unique(s[1:][s[1:] == s[:-1]])
+        del s
+        if not len(shared):
+            return
+        hit = shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v
+        v, node, word, label = v[hit], node[hit], word[hit], node[hit] ^ mark[hit]
+        order = np.lexsort((node, label, v))
+        v, label = v[order], label[order]
+        lead = np.concatenate((np.ones(min(2, len(v)), bool), (v[2:] != v[:-2]) | (label[2:] != label[:-2])))
+        order, v, label = order[lead], v[lead], label[lead]
+        node, word = node[order], word[order]
+        at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        size = np.diff(np.append(at, len(v)))
+        first, small = np.repeat(at, size), np.repeat(size <= most, size)
+        i = np.flatnonzero(np.arange(len(v)) != first)
+        a, b = [first[i]], [i]
+        for d in range(1, max(most, beyond + 1)):
+            i = np.flatnonzero((v[d:] == v[:-d]) & (small[d:] | (d <= beyond)))
+            a.append(i)
+            b.append(i + d)
+        a, b = np.concatenate(a), np.concatenate(b)
+        near = (np.bitwise_count(word[a] ^ word[b]) <= FAR) & (label[a] != label[b])
+        pair = np.unique(np.stack([node[a[near]], node[b[near]]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(x or b"", shingle)).view(np.int64) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return run
+
+
+def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMILARITY, passes: int = PASSES) -> DataFrame:
+    """u, v bigint: links between text hashes of docs (_x_hash, text) whose texts have at least that
+    similarity of shingle sets, enough for components. Signature parts are ball-hashed for candidates,
+    and every candidate pair's similarity is counted exactly from the texts. The first slice goes
+    through once before the others with few pairs a node: what it links need not be paired again,
+    so a large group of near copies is not paired in all ways."""
+    spark = docs.sparkSession
+    sigs = docs.select("_x_hash", "text").mapInArrow(_signatures(shingle), "node bigint, sig binary")
+    sigs = scratch.keep(scratch.keep(sigs, "rows").distinct(), "signatures")
+    n = sigs.count()
+    variants = n * len(masks(PART_RADIUS // 2, 32)) * (WORDS * 64 // 32) * ORDERS
+    parts = max(8, -(-variants // (passes * TASK_VARIANTS)))
+    senders = max(8, -(-n // 4096))
+
+    def candidates(marked: DataFrame, this: int, most: int, beyond: int, name: str) -> DataFrame:
+        sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary")
+        met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet_parts(most, beyond), "u bigint, v bigint"), name)
+        del sent
+        release(spark)
+        return met
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.keep(pairs.distinct(), f"pairs-{name}")
+        nodes = scratch.keep(pairs.select(F.col("u").alias("_x_hash")).union(pairs.select("v")).distinct(), f"nodes-{name}")
+        texts = docs.select("_x_hash", "text").join(nodes, "_x_hash", "left_semi").mapInArrow(_sets(shingle), "node bigint, hashes array<bigint>")
+        sets = scratch.keep(texts.dropDuplicates(["node"]), f"sets-{name}")
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}_hashes"))
+        both, shared = pairs.join(side("u"), "u").join(side("v"), "v"), F.size(F.array_intersect("u_hashes", "v_hashes"))
+        # blank texts have no shingles and are alike
+        alike = F.coalesce(shared / F.nullif(F.size("u_hashes") + F.size("v_hashes") - shared, F.lit(0)), F.lit(1.0))
+        links = scratch.keep(both.filter(alike >= least).select("u", "v"), f"links-{name}")
+        scratch.drop(f"sets-{name}")
+        release(spark)
+        return links
+
+    early = verified(candidates(sigs.withColumn("mark", F.lit(0).cast("long")), 0, 1, 1, "early"), "early")
+    root = components(early, scratch).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    marks = sigs.join(root, "node", "left").select("node", "sig", F.coalesce(F.col("node").bitwiseXOR(F.col("root")), F.lit(0)).alias("mark"))
+    marks, pairs = scratch.keep(marks, "marks"), None
+    for this in range(passes):
+        met = candidates(marks, this, ALL_PAIRS, NEXT, f"pairs{this}")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return early.unionByName(verified(pairs, "rest"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, one of each component of texts whose shingle sets have at least
+    that Jaccard similarity: smallest doc_id (nulls last), then the smallest hash of the text; of
+    rows alike in both, all stay (exact dedup takes those)."""
+    scratch = Scratch(docs.sparkSession, "near")
     marked = docs.withColumn("_x_hash", F.xxhash64("text"))
+    root = components(similar(marked, scratch, shingle, least), scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"), F.col("_x_hash").alias("c"))
+    best = scratch.keep(marked.groupBy("_x_hash").agg(F.min(order).alias("k")), "best")
+    best = best.join(root.select(F.col("u").alias("_x_hash"), F.col("v").alias("root")), "_x_hash", "left")
+    stay = best.groupBy(F.coalesce("root", "_x_hash").alias("_by")).agg(F.min("k").alias("k")).select(F.col("k.b").alias("_k"), F.col("k.c").alias("_h"))
     on = marked["doc_id"].cast("long").eqNullSafe(stay["_k"]) & (marked["_x_hash"] == stay["_h"])
     return marked.join(stay, on, "left_semi").select(*docs.columns)
 

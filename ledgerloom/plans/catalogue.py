@@ -534,6 +534,15 @@ def paginate(spark, sf):
     return pages.groupBy("doc", "page").agg(F.count("*").alias("lines"))
 
 
+@query("paginate_all")
+def paginate_all(spark, sf):
+    """All lines, a document for each supplier; a recursive query would be too slow as its SQL."""
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("h"))
+    d = li.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "h"))).alias("w"))
+    pages = d.select("doc", F.explode(announce.paginate(F.transform("w", lambda x: x["h"]), 8, 120.0)).alias("page"))
+    return pages.groupBy("doc", "page").agg(F.count("*").alias("lines"))
+
+
 @query(
     "corpus_accuracy",
     """WITH j AS (SELECT l.doc_id, CASE WHEN regexp_matches(d.text, '!!|\\|') THEN 0 ELSE 1 END AS predicted, l.quality FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL AND d.text IS NOT NULL)

@@ -5,10 +5,11 @@ at symbol i, inner nodes the smaller of two, so the root is the leftmost pair of
 A merge rewrites three leaves and their paths, logarithmic each, until the root holds no mergeable
 pair; a word of n bytes takes O(n log n) however long it is.
 
-Words repeat, so results are kept: by word, and by the stretch between single spaces (a stretch
-that neither is empty nor starts or ends with white space is cut the same way wherever it stands).
-Both stores hold two generations of bounded size. Texts with other white space between stretches
-are cut by the pattern as a whole.
+Words of up to 64 bytes are merged many at a time: the same trees, as rows of an array. Words repeat,
+so results are kept: by word, and by the stretch between single spaces (a stretch that neither is
+empty nor starts or ends with white space is cut the same way wherever it stands). A store that has
+outgrown its bound is emptied before the next slice of texts; it lives on from task to task. Texts
+with other white space between stretches are cut by the pattern as a whole.
 
 The vocabulary file is a parameter; files shipped with the job are read by each Python worker.
 Added tokens that occur in a text become their own id, as in the library. Cases: a null text counts
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of one generation of a store of results: words cost most to compute.
-STORE, WORD_STORE = 100_000, 200_000
+#: Entries from which a store of results is emptied (words cost most to compute), and bytes of text
+#: that are worked on at once.
+STORE, WORD_STORE, SLICE = 250_000, 600_000, 4 << 20
 #: How byte-level vocabularies cut texts before merging (fixed value).
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = 1 << 62
@@ -73,10 +75,6 @@ class Store(dict):
         return out
 
 
-class _Edge(Exception):
-    """A stretch that the white space around it may join."""
-
-
 def merge_word(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     """Merge symbols by rank; pairs: (left << 32 | right) -> (rank, merged)."""
     n = len(ids)
@@ -129,6 +127,59 @@ def merge_word(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class Pairs:
+    """The merge table as sorted arrays, and segment trees over many short words at once: every step
+    takes each tree's root and updates three leaves and their paths, for all words that have a merge left."""
+
+    def __init__(self, pairs: dict[int, tuple[int, int]]):
+        keys = np.array(sorted(pairs), np.int64)
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.rank = np.array([*(pairs[k][0] for k in keys.tolist()), 0], np.int64)
+        self.merged = np.zeros(int(self.rank.max()) + 1, np.int64)
+        for rank, new in pairs.values():
+            self.merged[rank] = new
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of each pair, _NONE where it is not mergeable (a symbol of -1 never is)."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = len(self.keys) - 1
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), (self.rank[at] << 6) | place, _NONE)
+
+    def merge(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """ids: a word's symbols a row, -1 beyond its length; at most 64 columns, a power of two. Returns
+        the rows with merged symbols where a pair started and -1 in the other places."""
+        n, width = ids.shape
+        tree = np.full((n, 2 * width), _NONE, np.int64)
+        tree[:, width : 2 * width - 1] = self.leaves(ids[:, :-1], ids[:, 1:], np.arange(width - 1))
+        at = width // 2
+        while at:
+            tree[:, at : 2 * at] = np.minimum(tree[:, 2 * at : 4 * at : 2], tree[:, 2 * at + 1 : 4 * at : 2])
+            at //= 2
+        after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+        row = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(row):
+            root = tree[row, 1]
+            i = root & 63
+            new = self.merged[root >> 6]
+            j = after[row, i]
+            k = after[row, j]
+            ids[row, i], ids[row, j], after[row, i] = new, -1, k
+            more = k < lengths[row]
+            before[row[more], k[more]] = i[more]
+            h = before[row, i]
+            back = h >= 0
+            tree[row, width + j] = _NONE
+            tree[row, width + i] = self.leaves(new, np.where(more, ids[row, np.minimum(k, width - 1)], -1), i)
+            tree[row[back], width + h[back]] = self.leaves(ids[row[back], h[back]], new[back], h[back])
+            rows, node = np.concatenate((row, row, row[back])), np.concatenate((i, j, h[back])) + width
+            for _ in range(width.bit_length() - 1):
+                node >>= 1
+                tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+            row = row[tree[row, 1] != _NONE]
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; pieces are decimal ids joined by commas."""
 
@@ -142,62 +193,113 @@ class Codec:
         self.pairs = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.pairs.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+        self.trees, self.first = Pairs(self.pairs), np.array(self.start, np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: bytes(back[c] for c in w) for w, i in vocab.items() if all(c in back for c in w)}
         self.bytes |= {i: w.encode() for w, i in self.added.items()}
+        self.names = list(map(str, range(max(self.bytes) + 1)))
         self.cut = regex.compile(CUT)
         self.split = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.word = Store(self._word, WORD_STORE)
-        self.stretch = Store(self._stretch)
-        self.spaced = Store(lambda x: self._stretch(x, " "))
-        self.text = Store(self._text)
-
-    def _word(self, word: str) -> str:
-        return ",".join(map(str, merge_word([self.start[b] for b in word.encode()], self.pairs)))
-
-    def _stretch(self, x: str, lead: str = "") -> str:
-        if not x or x[0].isspace() or x[-1].isspace():
-            raise _Edge
-        return ",".join(map(self.word.__getitem__, self.cut.findall(lead + x)))
-
-    def _text(self, piece: str) -> bytes:
-        return b"".join([self.bytes[int(i)] for i in piece.split(",")])
-
-    def _plain(self, text: str) -> list[str]:
-        if not text:
-            return []
-        try:
-            first, *rest = text.split(" ")
-            out = [self.stretch[first]]
-            out += map(self.spaced.__getitem__, rest)
-            return out
-        except _Edge:
-            return list(map(self.word.__getitem__, self.cut.findall(text)))
-
-    def pieces(self, text: str) -> list[str]:
-        if self.split is None or not any(w in text for w in self.added):
-            return self._plain(text)
-        out: list[str] = []
-        for part in self.split.split(text):
-            out += [str(self.added[part])] if part in self.added else self._plain(part)
-        return out
+        self.forget()
 
     def forget(self) -> None:
-        """Empties the stores: a worker that lives on for other work keeps the vocabulary only."""
-        for store in (self.word, self.stretch, self.spaced, self.text):
-            store.clear()
-            store.old = {}
+        """Empties the stores: pieces by word, by stretch at a text's start and by stretch after a space,
+        and bytes by piece."""
+        self.word: dict[str, str] = {}
+        self.lead: dict[str, str] = {}
+        self.spaced: dict[str, str] = {}
+        self.text: dict[str, bytes] = {}
+
+    def _merge(self, words: list[str]) -> Iterator[str]:
+        """The pieces of words, in batches of like length; words of over 64 bytes one by one."""
+        raw = [w.encode() for w in words]
+        out: list[str] = [""] * len(raw)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        for width, least in ((8, 0), (16, 8), (32, 16), (64, 32)):
+            mine = np.flatnonzero((size > least) & (size <= width))
+            for part in (mine[k : k + 8192] for k in range(0, len(mine), 8192)):
+                grid = np.frombuffer(b"".join([raw[k].ljust(width, b"\0") for k in part.tolist()]), np.uint8).reshape(-1, width)
+                ids = np.where(np.arange(width) < size[part, None], self.first[grid], -1)
+                ids = self.trees.merge(ids, size[part])
+                live = ids >= 0
+                names = [self.names[i] for i in ids[live].tolist()]
+                stops = np.cumsum(live.sum(axis=1)).tolist()
+                for k, a, b in zip(part.tolist(), [0, *stops[:-1]], stops, strict=True):
+                    out[k] = ",".join(names[a:b])
+        for k in np.flatnonzero(size > 64).tolist():
+            out[k] = ",".join(map(str, merge_word([self.start[b] for b in raw[k]], self.pairs)))
+        return iter(out)
+
+    def batch(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text. What is not stored yet is gathered over all texts and merged at once."""
+        for store, bound in ((self.word, WORD_STORE), (self.lead, STORE), (self.spaced, STORE), (self.text, STORE)):
+            if len(store) > bound:
+                store.clear()
+        parts = [[(x, x in self.added) for x in self.split.split(t)] if self.split is not None and any(w in t for w in self.added) else [(t, False)] for t in texts]
+        cut = {x: x.split(" ") for own in parts for x, added in own if x and not added}
+        lead, spaced = set(), set()
+        for first, *rest in cut.values():
+            lead.add(first)
+            spaced.update(rest)
+        todo, bad = ({}, {}), (set(), set())  # words by stretch, and stretches that white space may join
+        for k, (store, found, before) in enumerate(((self.lead, lead, ""), (self.spaced, spaced, " "))):
+            for x in found:
+                if not x or x[0].isspace() or x[-1].isspace():
+                    bad[k].add(x)
+                elif x not in store:
+                    # most are plain words, whose cut needs no pattern
+                    if x.isascii() and x.isalpha():
+                        todo[k][x] = [before + x]
+                    elif x.isascii() and x[:-1].isalpha() and x[-1] in ".,;:!?":
+                        todo[k][x] = [before + x[:-1], x[-1]]
+                    else:
+                        todo[k][x] = self.cut.findall(before + x)
+        whole = {}
+        for x, (first, *rest) in cut.items():
+            if first in bad[0] or not bad[1].isdisjoint(rest):
+                whole[x] = self.cut.findall(x)
+        new = list({w for words in (*todo[0].values(), *todo[1].values(), *whole.values()) for w in words if w not in self.word})
+        self.word.update(zip(new, self._merge(new), strict=True))
+        word = self.word.__getitem__
+        for store, found in zip((self.lead, self.spaced), todo, strict=True):
+            store.update((x, ",".join(map(word, words))) for x, words in found.items())
+        done = {x: list(map(word, words)) for x, words in whole.items()}
+        for x, (first, *rest) in cut.items():
+            if x not in done:
+                done[x] = [self.lead[first], *map(self.spaced.__getitem__, rest)]
+        part = lambda x, added: [str(self.added[x])] if added else done[x] if x else []
+        return [part(*own[0]) if len(own) == 1 else [p for x in own for p in part(*x)] for own in parts]
+
+    def pieces(self, text: str) -> list[str]:
+        return self.batch([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for p in self.pieces(text) for i in p.split(",")]
 
     def decode_pieces(self, pieces: list[str]) -> str:
-        return b"".join(map(self.text.__getitem__, pieces)).decode("utf-8", "replace")
+        text = self.text
+        for p in pieces:
+            if p not in text:
+                text[p] = b"".join([self.bytes[int(i)] for i in p.split(",")])
+        return b"".join(map(text.__getitem__, pieces)).decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches cut to about SLICE bytes of text (one text at least), with the texts in column ``at``."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            used = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, used + SLICE)))
+            part = batch.slice(start, stop - start)
+            yield part, pc.fill_null(part.column(at), "").to_pylist()
+            start = stop
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec a worker process."""
@@ -211,12 +313,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            ids = [np.fromstring(",".join(c.pieces(t or "")), np.int32, sep=",") for t in batch.column(names.index(text_col)).to_pylist()]
+        for batch, texts in _slices(batches, names.index(text_col)):
+            ids = [np.fromstring(",".join(p), np.int32, sep=",") for p in c.batch(texts)]
             sizes = np.array([len(x) for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes)], names=[*names, "token_ids", "n_tokens"])
-        c.forget()
 
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -245,17 +346,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch, found in _slices(batches, 1):
             counts, ids, texts = [], [], []
-            for at in range(0, batch.num_rows, 256):
-                for text in pc.fill_null(batch.column(1).slice(at, 256), "").to_pylist():
-                    pieces = c.pieces(text)
-                    joined = ",".join(pieces)
-                    counts.append(joined.count(",") + 1 if joined else 0)
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    texts.append(hashlib.sha256(c.decode_pieces(pieces).encode()).hexdigest())
+            for pieces in c.batch(found):
+                joined = ",".join(pieces)
+                counts.append(joined.count(",") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                texts.append(hashlib.sha256(c.decode_pieces(pieces).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.forget()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

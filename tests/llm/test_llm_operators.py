@@ -214,6 +214,20 @@ def test_store_keeps_two_generations():
     assert len(s) <= 3 and calls == [1, 2, 3, 4, 5]
 
 
+def test_bpe_batches_equal_single_trees(monkeypatch):
+    monkeypatch.setattr(bpe, "STORE", 50)
+    monkeypatch.setattr(bpe, "WORD_STORE", 50)
+    own, rng = bpe.Codec(bpe.vocabulary_path()), np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeiostrnthé中"), int(n))) for n in [*rng.integers(1, 70, 400), *range(1, 70), 300]]
+    one = [[own.start[b] for b in w.encode()] for w in words]
+    assert list(own._merge(words)) == [",".join(map(str, bpe.merge_word(ids, own.pairs))) for ids in one]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(20)] + ["", " ", "a  b", "\n", " ".join(words)]
+    for at in range(0, len(texts), 6):  # stores are emptied between batches
+        found = own.batch(texts[at : at + 6])
+        assert [own.decode_pieces(p) for p in found] == texts[at : at + 6]
+        assert found == [bpe.Codec.pieces(own, t) for t in texts[at : at + 6]]
+
+
 # chat
 
 

@@ -173,7 +173,7 @@ def representatives(cand: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
 
 
 #: Windows that a sending task packs at once, and that a receiving task sorts on average.
-PACK_WINDOWS, TASK_WINDOWS = 1_000_000, 2_000_000
+PACK_WINDOWS, TASK_WINDOWS = 1_000_000, 700_000
 _PACKED = "part int, windows binary, checks binary, starts binary, ids array<bigint>, docs array<bigint>, counts array<int>"
 
 
@@ -184,7 +184,7 @@ def _send(parts: int, length: int, rounds: int):
     half, q = length // 2, length >> rounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, names = [], 0, []
+        held, n, names, last = [], 0, [], None
 
         def pack() -> Iterator[pa.RecordBatch]:
             ids, checks, starts = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -212,6 +212,9 @@ def _send(parts: int, length: int, rounds: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for doc_id, doc, text, reps in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                    if (doc_id, doc) == last:  # rows alike come one after the other: one speaks for all
+                        continue
+                    last = doc_id, doc
                     ids = buckets(text.encode(), length, rounds)
                     spans = []
                     for r in reps:
@@ -293,7 +296,8 @@ def repeated(slim: DataFrame, scratch: Scratch, length: int = LENGTH, rounds: in
     del sent
     release(spark)
     both = settled.withColumn("starts", F.lit(None).cast("binary")).unionByName(met.select("doc_id", "doc", F.lit(None).cast("struct<first:int,last:int>").alias("span"), "starts"))
-    return both.groupBy("doc_id", "doc").agg(F.collect_list("span").alias("settled"), F.collect_list("starts").alias("starts"))
+    # sets, as every one of many rows alike in doc_id and text brings the same spans
+    return both.groupBy("doc_id", "doc").agg(F.collect_set("span").alias("settled"), F.collect_set("starts").alias("starts"))
 
 
 def _covered(n: int, settled: list, starts: list, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,12 +316,14 @@ def _covered(n: int, settled: list, starts: list, length: int) -> tuple[np.ndarr
     return first[begin], stop[np.append(begin[1:] - 1, len(first) - 1)]
 
 
-_OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+_OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept binary, the remaining bytes, on
-    request: they need not be whole UTF-8) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (first and past-last removed byte of
+    each run; and kept binary, the remaining bytes, on request: they need not be whole UTF-8) of every
+    row. Other columns of docs play no part, whatever their names."""
     scratch = Scratch(docs.sparkSession, "suffix")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
     spans = scratch.keep(repeated(slim, scratch, length, rounds), "spans")
@@ -329,14 +335,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS,
                 part = batch.slice(at, 500)
                 out = []
                 for doc_id, text, settled, starts in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    text, kept, removed, n = text or b"", text or b"", 0, 0
+                    text, kept, removed, runs = text or b"", text or b"", 0, []
                     if settled or starts:
                         a, b = _covered(len(text), settled or [], starts or [], length)
                         kept = b"".join(text[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
-                        removed, n = int((b - a).sum()), len(a)
-                    out.append((doc_id, len(text), removed, n, hashlib.sha256(kept).hexdigest(), *([kept] if keep_bytes else [])))
-                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                        removed, runs = int((b - a).sum()), [{"start": i, "stop": j} for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                    out.append((doc_id, len(text), removed, len(runs), hashlib.sha256(kept).hexdigest(), runs, *([kept] if keep_bytes else [])))
+                kinds = [pa.int64()] * 4 + [pa.string(), _SPANS] + [pa.binary()] * keep_bytes
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names[: len(kinds)])
 
     joined = _same_doc(slim, spans, "left").select("doc_id", "text", "settled", "starts")
@@ -344,4 +350,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS,
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir)).withColumn("repeated", F.col("n_removed") > 0)

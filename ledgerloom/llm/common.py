@@ -34,6 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def hide(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column that is not used renamed, so that no name of it can clash, and the
+    names they had by the ones they have now."""
+    safe = [c if c in used else f"_x_c{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*safe), dict(zip(safe, docs.columns, strict=True))
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of hidden docs under the names they had."""
+    return df.select(*[F.col(s).alias(n) for s, n in names.items()])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,12 +10,12 @@ doc_id), the number of rows, and how many rows tie with the one that stays.
 A trie holds at most ``budget`` bytes (or one string). Beyond it the largest subtree under the root is spilled:
 its terminals are emitted, and what reaches that subtree later passes straight through. On the
 first side that only lets a few more rows through; on the second the spilled rows are dealt anew
-among more partitions until none is left. A spilled subtree is never used again, so no text is
+among as many partitions as their bytes ask for, until none is left. A spilled subtree is never used again, so no text is
 counted both inside and outside.
 
 Cases: null text counts as empty and equals texts of white space only; a null doc_id is larger
 than any other; of rows alike in text and doc_id exactly one is kept; an empty table gives an empty
-result; very long texts are inserted whole. Names of internal columns start with "_x_".
+result; very long texts are inserted whole. Other columns have any names and come back from ``dedup``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, hide, shown
 
 SPACE = b" \t\n\x0b\x0c\r"
 BUDGET = 24 << 20
@@ -229,7 +229,11 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     schema = f"_x_len bigint, _x_sha binary, _x_rows bigint, _x_ties bigint, _x_cps bigint, _x_spilled boolean, {kinds}"
     todo, done, k = docs.mapInArrow(first, schema), None, 0
     while True:
-        dealt = todo.repartition("_x_len", "_x_sha") if k == 0 else todo.repartition(8 * 4**k, "_x_sha", "_x_len", F.lit(k))
+        if k == 0:
+            dealt = todo.repartition("_x_len", "_x_sha")
+        else:  # so many partitions that a trie's share is a quarter of its budget
+            held = todo.agg(F.sum(F.col("_x_len") + F.octet_length(text_col) + NODE_BYTES)).first()[0]
+            dealt = todo.repartition(max(8 * 4**k, -(-4 * held // budget)), "_x_sha", "_x_len", F.lit(k))
         out = scratch.keep(dealt.mapInArrow(second, schema), f"owners{k}")
         part = out.filter("NOT _x_spilled").drop("_x_spilled")
         done = part if done is None else done.unionByName(part)
@@ -271,7 +275,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budg
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    return owners(docs, id_col, text_col, True, budget).select(*docs.columns)
+    hidden, names = hide(docs, (id_col, text_col))
+    return shown(owners(hidden, id_col, text_col, True, budget), names)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Bounded training samples of labelled documents, and the split into folds.
 
-A sample has at most ``per_class`` rows of each class; of copies among them one counts."""
+A sample has at most ``per_class`` rows of each class and, in order of the hash that picks them, as
+many whole texts as ``SAMPLE_BYTES`` hold; of copies among them one counts."""
 
 from __future__ import annotations
 
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a classifier is fitted on, at most.
 PER_CLASS = 2_000
+#: Bytes of text of each class that go to the driver, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,7 +35,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
         picked = some if picked is None else picked.unionByName(some)
     if picked is None:
         return [], counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    used = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.partitionBy("label").orderBy(h, "doc_id"))
+    rows = texts.withColumn("_used", used).filter(F.col("_used") <= SAMPLE_BYTES).select("doc_id", "label", "text").collect()
     rows = sorted(((r.label, r.doc_id, r.text or "") for r in rows))
     out: list[tuple[str, int]] = []
     for label in counts:

@@ -10,7 +10,8 @@ does not miss by chance, and reruns agree.
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null
 doc_id draws as the empty string. Repeated rows draw alike. An empty table gives an empty result;
 a source without words has target and rate 0. Other columns pass through ``mix`` untouched under
-their own names; the operator's own columns replace columns of the same name.
+their own names, whatever these are; of ``mix`` the operator's own columns (size, source_size, target,
+rate, copies) replace columns of the same name, ``take`` returns the columns of docs and no other.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents, sql_uniform, uniform
+from .common import WORD, Scratch, documents, hide, shown, sql_uniform, uniform
 
 WEIGHTS, CAP, SEEDS = (5, 2, 1), 3, 8
 #: Sources up to this many rows are sent to every task; beyond it the join shuffles.
@@ -79,14 +80,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     plan = scratch.keep(mix_plan(scratch.keep(slim, "slim"), weights, cap, seeds), "plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    own = ("size", "source_size", "target", "rate", "copies", "seed")
-    kept = docs.drop(*own).withColumn("size", words(F.col("text")))
-    out = _join(kept, plan)
-    u = _seeded(seeds)
-    return out.withColumn("copies", _copies(F.col("rate"), u)).drop("seed")
+    own = ("size", "source_size", "target", "rate", "copies")
+    hidden, names = hide(docs, ("doc_id", "source", "text"))
+    out = _join(hidden.withColumn("size", words(F.col("text"))), plan).withColumn("copies", _copies(F.col("rate"), _seeded()))
+    return out.select(*[F.col(s).alias(n) for s, n in names.items() if n not in own], *own)
 
 
-def _seeded(seeds: int) -> Column:
+def _seeded() -> Column:
     return uniform(F.col("doc_id"), F.concat(F.lit("mix"), F.col("seed").cast("string")))
 
 
@@ -95,6 +95,12 @@ def emit(mixed: DataFrame) -> DataFrame:
     return mixed.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
 
 
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """The rows of docs as often as the mix takes them."""
+    hidden, names = hide(docs, ("doc_id", "source", "text"))
+    return shown(emit(mix(hidden, weights, cap, seeds)), names)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -8,7 +8,8 @@ document's label. Forward-backward marginals, weighted by line length, give the
 good text, which a logistic regression turns into the score, weighted to the labels' frequencies.
 
 Fitted on at most ``per_class`` documents of each class (bounded, see ``labelled``), never on held-out
-rows; every line of every whole text is scored. Cases: a null or empty text is one empty line;
+rows; every line of every whole text is scored, a very long text as a chain of its own. Other columns
+play no part and pass through ``score_documents``, but for one named score, which is replaced. Cases: a null or empty text is one empty line;
 repeated rows score alike; without labels of both classes scores are constant; an empty table gives
 an empty result.
 """

@@ -18,7 +18,9 @@ mostly misses: it ball-hashes 32 parts of a signature of 256 bits and verifies e
 
 Cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a
 shingle are hashed as one; a null doc_id counts in no component's smallest id, so a component of
-such rows only has a null id; an empty table gives an empty result; long texts are hashed whole.
+such rows only has a null id; repeated rows have one fingerprint and come out as often as they came
+in; an empty table gives an empty result; long texts are hashed whole. Columns beside doc_id and text
+play no part and ``near_dedup`` returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, release
+from .common import Scratch, documents, hide, release, shown
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -206,7 +208,7 @@ def clusters(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, pass
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = nodes.join(root.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     nodes = scratch.keep(nodes, "nodes")
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = scratch.keep(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = nodes.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp")
 
@@ -372,6 +374,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) ->
     that Jaccard similarity: smallest doc_id (nulls last), then the smallest hash of the text; of
     rows alike in both, all stay (exact dedup takes those)."""
     scratch = Scratch(docs.sparkSession, "near")
+    docs, names = hide(docs, ("doc_id", "text"))
     marked = docs.withColumn("_x_hash", F.xxhash64("text"))
     root = components(similar(marked, scratch, shingle, least), scratch)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"), F.col("_x_hash").alias("c"))
@@ -379,7 +382,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) ->
     best = best.join(root.select(F.col("u").alias("_x_hash"), F.col("v").alias("root")), "_x_hash", "left")
     stay = best.groupBy(F.coalesce("root", "_x_hash").alias("_by")).agg(F.min("k").alias("k")).select(F.col("k.b").alias("_k"), F.col("k.c").alias("_h"))
     on = marked["doc_id"].cast("long").eqNullSafe(stay["_k"]) & (marked["_x_hash"] == stay["_h"])
-    return marked.join(stay, on, "left_semi").select(*docs.columns)
+    return shown(marked.join(stay, on, "left_semi"), names)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ joined) and three sums (expected toxic tokens, their share, the highest) from wh
 regression, weighted to the labels' own frequencies, gives the document's score.
 
 Fitted on at most ``per_class`` documents of each class (bounded, see ``labelled``), never on held-out
-rows; every whole text is scored. Cases: a null or empty text has no tokens and scores what the
+rows, with at most ``FEATURES`` features (all evidence and the most frequent others) and about
+``PLAIN_CHAINS`` to twice as many chains without toxic tokens; every whole text is scored, a very long
+one as a chain of its own. Columns beside doc_id and text play no part, whatever their names. Cases: a null or empty text has no tokens and scores what the
 regression gives for none; repeated rows score alike; without labels of both classes every score is
 1/2 of the known class's side (0.5 without any); an empty table gives an empty result.
 """
@@ -34,6 +36,8 @@ from .labelled import PER_CLASS, held_out, training_sample
 PREFIXES = (3, 4, 5, 6)
 #: Log-odds and documents from which a feature is evidence; features kept; tokens of a training chain.
 EVIDENCE, SUPPORT, FEATURES, CHAIN = 3.0, 3, 30_000, 64
+#: Training chains without toxic tokens from twice as many of which on only every k-th is fitted on.
+PLAIN_CHAINS = 6_000
 EDGE = ".,;:!?*%$#&|\"'()[]{}<>-_/\\~`+=@^"
 _TOKEN = re.compile(r"\S+")
 
@@ -85,7 +89,7 @@ class Toxicity:
                 labels.append(toxic[a : a + CHAIN])
         # chains without toxic tokens are many and alike: every k-th is enough, by a fixed rule
         plain = [i for i, x in enumerate(labels) if not any(x)]
-        keep = sorted({i for i, x in enumerate(labels) if any(x)} | set(plain[:: max(1, len(plain) // 6000)]))
+        keep = sorted({i for i, x in enumerate(labels) if any(x)} | set(plain[:: max(1, len(plain) // PLAIN_CHAINS)]))
         chains, labels = [chains[i] for i in keep], [labels[i] for i in keep]
         if not any(map(any, labels)):
             return self._regress(docs, counts)

@@ -46,7 +46,7 @@ TASK_VARIANTS, PACK_VARIANTS = 1_250_000, 1_500_000
 SIMILARITY, WORDS, ORDERS, PART_RADIUS = 0.8, 4, 4, 2
 #: Candidates differ in at most FAR bits of 64 (similar texts in about 10, others in about 32). Up to
 #: ALL_PAIRS nodes at one variant meet in all pairs, more of them with the first and the NEXT ones.
-FAR, ALL_PAIRS, NEXT = 20, 8, 2
+FAR, ALL_PAIRS, NEXT, STAND = 20, 8, 2, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,7 +244,8 @@ def bit_parts(sigs: np.ndarray) -> np.ndarray:
 
 def _send_parts(passes: int, this: int, parts: int):
     """The variants of one slice's signature parts (part number above, 32 bits below), packed by the
-    part of the shuffle that they meet in, each with its node, the signature's first word and mark."""
+    part of the shuffle that they meet in, each with its node, the signature's first word, mark and the
+    bits that make the variant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = masks(PART_RADIUS // 2, 32)
@@ -258,31 +259,34 @@ def _send_parts(passes: int, this: int, parts: int):
                 mine = np.arange(this, found.shape[1], passes)
                 keys = found[:, mine].astype(np.uint64) | (mine.astype(np.uint64) << np.uint64(32))
                 variants = (keys[:, :, None] ^ ball).reshape(-1)
-                row = np.repeat(np.arange(len(nodes)), len(mine) * len(ball))
+                row, flip = np.repeat(np.arange(len(nodes)), len(mine) * len(ball)), np.tile(np.arange(len(ball), dtype=np.uint8), len(nodes) * len(mine))
                 part = (((variants * _MIX) >> np.uint64(24)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                part, variants, row = part[order], variants[order], row[order]
+                part, variants, row, flip = part[order], variants[order], row[order], flip[order]
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)) if len(part) else []
-                packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (variants, nodes[row], sigs[row, 0], mark[row])]
-                yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *packed], names=["part", "variants", "nodes", "words", "marks"])
+                packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (variants, nodes[row], sigs[row, 0], mark[row], flip)]
+                yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *packed], names=["part", "variants", "nodes", "words", "marks", "flips"])
 
     return run
 
 
 def _meet_parts(most: int, beyond: int):
     """Candidate pairs of nodes that share a variant, differ in at most FAR bits of their first word and
-    are not known to be linked; of nodes known to be linked two stand at a variant for all. Up to ``most`` nodes at a variant meet in all pairs; of more, each
-    meets the first and the next ``beyond``."""
+    are not known to be linked; of nodes known to be linked STAND stand at a variant for all. Up to ``most``
+    nodes at a variant meet in all pairs; of more, each meets the first and the next ``beyond``. Two
+    nodes share all variants of a part or two: the pair is handed on at the part itself or the lesser."""
+
+    ball = masks(PART_RADIUS // 2, 32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], [], []]
+        got: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            for k in range(4):
-                got[k] += [np.frombuffer(x, np.int64 if k in (1, 3) else np.uint64) for x in batch.column(k + 1).to_pylist()]
+            for k, kind in enumerate((np.uint64, np.int64, np.uint64, np.int64, np.uint8)):
+                got[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
         if not got[0]:
             return
-        v, node, word, mark = (np.concatenate(x) for x in got)
+        v, node, word, mark, flip = (np.concatenate(x) for x in got)
         del got
         s = np.sort(v)
         shared = np.unique(s[1:][s[1:] == s[:-1]])
@@ -290,12 +294,12 @@ def _meet_parts(most: int, beyond: int):
         if not len(shared):
             return
         hit = shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v
-        v, node, word, label = v[hit], node[hit], word[hit], node[hit] ^ mark[hit]
+        v, node, word, label, flip = v[hit], node[hit], word[hit], node[hit] ^ mark[hit], flip[hit]
         order = np.lexsort((node, label, v))
         v, label = v[order], label[order]
-        lead = np.concatenate((np.ones(min(2, len(v)), bool), (v[2:] != v[:-2]) | (label[2:] != label[:-2])))
+        lead = np.concatenate((np.ones(min(STAND, len(v)), bool), (v[STAND:] != v[:-STAND]) | (label[STAND:] != label[:-STAND])))
         order, v, label = order[lead], v[lead], label[lead]
-        node, word = node[order], word[order]
+        node, word, flip = node[order], word[order], ball[flip[order]]
         at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         size = np.diff(np.append(at, len(v)))
         first, small = np.repeat(at, size), np.repeat(size <= most, size)
@@ -307,6 +311,7 @@ def _meet_parts(most: int, beyond: int):
             b.append(i + d)
         a, b = np.concatenate(a), np.concatenate(b)
         near = (np.bitwise_count(word[a] ^ word[b]) <= FAR) & (label[a] != label[b])
+        near &= np.where(flip[a] == flip[b], flip[a] == 0, v[a] < v[a] ^ flip[a] ^ flip[b])
         pair = np.unique(np.stack([node[a[near]], node[b[near]]], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
@@ -339,7 +344,7 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMI
     senders = max(8, -(-n // 4096))
 
     def candidates(marked: DataFrame, this: int, most: int, beyond: int, name: str) -> DataFrame:
-        sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary")
+        sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary, flips binary")
         met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet_parts(most, beyond), "u bigint, v bigint"), name)
         del sent
         release(spark)

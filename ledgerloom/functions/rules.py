@@ -61,6 +61,7 @@ AGAINST = {
         (r"g[ée]n[ée]rateur\s+de\s+balayage", 5),
         (r"nombre\s+d.enregistrements", 5),
         (r"ce\s+document\s+sert\s+d.outil", 4),
+        (r"swiss-app\.dhl\.com", 4),
     ],
 }
 #: What makes a list page the first page of a European declaration.
@@ -68,6 +69,7 @@ LIST_TOTALS = r"totale\s+(?:articoli|dei\s+colli|massa)"
 LIST_HEADER = r"unione\s+europea|'nione\s+europea|tipo\s+di\s+dichiarazione"
 #: Words of a goods table.
 RICH = r"\b(description|designation|quantit|qty|unit price|total|hs code|tariff|commodity|goods|invoice|proforma|facture|marchandise|weight|poids|gross|net)\b"
-#: Rank of a family when two readings of a page compete.
+#: Rank of a family when two readings of a page compete.
 RANK = {"INDETERMINE": 0, "ENVELOPPE": 1, "ANNEXE": 1, "EXPORT": 2}
+#: Families without transit data.
 OFF_TOPIC = ("EXPORT", "ANNEXE", "ENVELOPPE", "INDETERMINE")

@@ -14,7 +14,21 @@ CONFUSED = ("0OQ", "1IL|", "2Z", "5S", "6G", "8B", "4A", "7T")
 #: Letters read in place of the two digits after the country of a Swiss identifier.
 SWISS_DIGITS = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "|": "1", "Z": "2", "R": "2", "T": "7", "S": "5", "B": "8", "G": "6", "A": "4", "E": "3", "H": "4", "U": "0", "J": "1"}
 #: Issuing countries of movement identifiers.
-COUNTRIES = "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK XI".split()
+COUNTRIES = "AT BE BG CH CY CZ DE DK EE ES FI FR GR HR HU IE IS IT LT LU LV MT NL NO PL PT RO SE SI SK TR GB".split()
+#: Beginnings of texts that name no goods.
+NOT_GOODS = r"(?i)^(?:cust|shpt|gross|net|total|value|awb|page|dhl)\b"
+#: A form's own words and marks, never data.
+NOISE = (
+    r"(?i)^\W*$|^\[?\d{1,2}\s?\d{1,2}\]?$|^ID\s*:?$|^r[Dd]\s*:?$|^t[Dd]\s*:?"
+    r"|^(?:Referente|Speditore|Destinatario|Titolare|Rappresentante|Trasportatore"
+    r"|Formulari|Formulaires|BCP|Sicurezza|UCR|TIR|LRN|Numero|Tipo|UNDG|Codice"
+    r"|Spese|Massa|Unitä|Unita|Documento|Documenti|Riferimento|Informazioni"
+    r"|Attore|Mezzo|ELENCO|Descrizione|Descn|Pag|Totale|Tolal|Toiale|Des|MARIN"
+    r"|CUS|Dich|dich|merci|articolo|No\.?|Commodity|Grossmass|Netmass|Consignor"
+    r"|Consignee|Holder|Carrier|Previous|Supporting|Additional|Guarantee|Seal"
+    r"|Dossier|Nbre|Declarant)\b.*$"
+    r"|^[iIl|\[\]\.\,\-\s]{3,}$|^[0-9OISB]{2}[A-Z]{2}[0-9A-Z]{12,}$"
+)
 #: What a model writes for nothing.
 MODEL_NOTHING = ["", "0", "0.0", "0,00", "-", "n/a", "null", "none", "aucun", "aucune"]
 
@@ -77,9 +91,9 @@ def confusion_key(c: Column) -> Column:
 
 def normalise_movement(c: Column) -> Column:
     """Letters and digits only, upper case; a Swiss identifier's two office digits are repaired."""
-    x = F.regexp_replace(F.upper(c), "[^0-9A-Z|]", "")
+    x = F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
     office = F.substring(x, 5, 2)
-    swiss = (F.substring(x, 3, 2) == "CH") & ~office.rlike(r"^\d\d$") & (F.length(x) >= 6)
+    swiss = (F.substring(x, 3, 2) == "CH") & ~office.rlike(r"^\d\d$") & (F.length(x) >= 8)
     return F.when(swiss, F.concat(F.substring(x, 1, 4), _translate(office, SWISS_DIGITS), F.substr(x, F.lit(7)))).otherwise(x)
 
 
@@ -94,7 +108,7 @@ def plausible_movement(c: Column) -> Column:
 
 def movement_candidates(text: Column) -> Column:
     """Every plausible identifier in any window of the text's letters and digits, first seen first."""
-    x = F.regexp_replace(F.upper(text), "[^0-9A-Z]", "")
+    x = F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", ""))
     windows = F.when(F.length(x) >= 18, F.transform(F.sequence(F.lit(1), F.length(x) - 17), lambda i: normalise_movement(F.substr(x, i, F.lit(18))))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.filter(windows, plausible_movement))
 
@@ -109,6 +123,35 @@ def confusion_distance(a: Column, b: Column) -> Column:
     return bounded_distance(confusion_key(a), confusion_key(b))
 
 
+def choose_movement(candidates: Column, reference: Column) -> Column:
+    """The candidate for a known reference: of those within 4 confusion-neutral edits (of all, if none
+    is) the nearest if it is within 3, else, or without a reference, the one with most digits; the
+    earlier on ties. Null without candidates."""
+    ref = F.coalesce(reference, F.lit(""))
+    rated = F.transform(candidates, lambda c, i: F.struct(confusion_distance(c, ref).alias("d"), i.alias("i"), c.alias("c")))
+
+    def pick(rows: Column) -> Column:
+        near = F.filter(rows, lambda x: x["d"] <= 4)
+        known = F.when((ref != "") & (F.size(near) > 0), near).otherwise(rows)
+        best = F.array_min(known)
+        most = F.array_max(F.transform(known, lambda x: F.struct(F.length(digits(x["c"])).alias("n"), (-x["i"]).alias("i"), x["c"].alias("c"))))
+        return F.when((ref != "") & (best["d"] <= 3), best["c"]).otherwise(most["c"])
+
+    return F.get(F.transform(F.array(rated), pick), F.lit(0))
+
+
+def plausible_designation(c: Column) -> Column:
+    """Whether a text can name goods: six characters with a word of four letters, neither a number nor
+    a label."""
+    v = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    return (F.length(v) >= 6) & v.rlike("[A-Za-z]{4,}") & ~v.rlike(r"^[\d\s.,]+$") & ~v.rlike(NOT_GOODS)
+
+
+def is_value(c: Column) -> Column:
+    """Whether a cell holds data rather than a form's own words."""
+    return F.coalesce(~c.rlike(NOISE), F.lit(False))
+
+
 def date_fr(c: Column) -> Column:
     """ISO or day-first dates at the start to dd.mm.yyyy; other text unchanged."""
     iso = F.regexp_replace(F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2})", 1), r"(\d{4})-(\d{2})-(\d{2})", "$3.$2.$1")
@@ -155,19 +198,21 @@ def model_mass(c: Column) -> Column:
 
 
 def page_number(c: Column) -> Column:
-    n = c.try_cast("int")
+    """A whole number above zero, whether text or number; a boolean is none."""
+    n = F.when(c.cast("string").rlike(r"^\s*\d+\s*$"), c.cast("string").try_cast("int"))
     return F.when(n > 0, n)
 
 
 def package_cell(c: Column) -> Column:
-    """``PK 3`` to ``3 PK`` for the known kinds of package."""
-    shape = r"\b(PK|PC|PX|PLT|CTN|CAR|COL)\s*(\d+)\b"
+    """``PK 3``, ``PK-3`` or ``PK,3`` to ``3 PK`` for the known kinds of package; at most three digits."""
+    shape = r"\b(PK|PC|PX|PLT|CTN|CAR|COL)\s*[,\s-]\s*(\d{1,3})\b"
     return F.nullif(F.concat_ws(" ", found(c, shape, 2), found(c, shape, 1)), F.lit(""))
 
 
 def after_label(line: Column, label: str) -> Column:
-    """What follows a label, bracketed box numbers skipped."""
-    return found(line, rf"{label}\s*(?:\[[0-9 ]*\])?\s*:?\s*(.+?)\s*$")
+    """What follows a label (the whole line, if it is not there), box numbers skipped."""
+    rest = F.regexp_replace(F.regexp_replace(line, rf"(?s)^.*?(?i:{label})", ""), r"^[\s\[\]\d]{0,12}", "")
+    return F.nullif(clean_text(rest), F.lit(""))
 
 
 def year_in_zurich(ts: Column) -> Column:

@@ -21,10 +21,12 @@ def keep_first(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def paginate(heights: Column, most: int, bound: float) -> Column:
+def paginate(heights: Column, most: int, bound: float, final: float | None = None) -> Column:
     """Page numbers of an ordered array of heights: a page holds at most ``most`` of them and at most
-    ``bound`` together; a page of one is never too full to exist. A fold, since a page's room depends
-    on where the last one ended."""
+    ``bound`` together; a page of one is never too full to exist. With ``final``, the height of the
+    closing block, a line higher than the bound is an error, and the last line moves to a page of its
+    own if the block does not fit below the last page's lines. A fold, since a page's room depends on
+    where the last one ended."""
     start = F.struct(F.lit(1).alias("page"), F.lit(0).alias("n"), F.lit(0.0).alias("h"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, h: Column) -> Column:
@@ -32,7 +34,14 @@ def paginate(heights: Column, most: int, bound: float) -> Column:
         page = F.when(turn, acc["page"] + 1).otherwise(acc["page"])
         return F.struct(page.alias("page"), F.when(turn, 1).otherwise(acc["n"] + 1).alias("n"), F.when(turn, h).otherwise(acc["h"] + h).alias("h"), F.array_append(acc["out"], page).alias("out"))
 
-    return F.aggregate(heights, start, step, lambda acc: acc["out"])
+    def close(acc: Column) -> Column:
+        moved = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(acc["page"] + 1))
+        return F.when((acc["n"] > 1) & (acc["h"] + final > bound), moved).otherwise(acc["out"])
+
+    if final is None:
+        return F.aggregate(heights, start, step, lambda acc: acc["out"])
+    tall = F.exists(heights, lambda h: h > bound)
+    return F.when(tall, F.raise_error(F.lit("a line is too tall for a page"))).otherwise(F.aggregate(heights, start, step, close))
 
 
 def party_groups(parties: DataFrame, by: list[str], ref: str) -> DataFrame:

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 
+#: White space that Java's patterns do not take for it.
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085\u001c\u001d\u001e\u001f"
+
+
+def _spaced(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
+
 
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
@@ -31,12 +38,12 @@ def _let(value: Column, body) -> Column:
 def verdict(text: Column) -> Column:
     """struct(family, score_pos, score_neg) of a page's text. A family's title score is its best
     title's; titles and, beside one, anchors add up; an ordered list of rules decides."""
-    raw = F.coalesce(text, F.lit(""))
+    raw = _spaced(text)
     low = F.lower(raw)
     best = {f: F.greatest(F.lit(0), F.lit(0), *[F.when(_has(low, p), w).otherwise(0) for g, p, w in rules.TITLES if g == f]) for f in families()}
     scores = F.struct(
         *[c.alias(f) for f, c in best.items()], *[_sum(low, t).alias(k) for k, t in rules.AGAINST.items()], _sum(low, rules.ANCHORS).alias("anchors"),
-        F.when(_has(raw, rules.TYPE_BOX), rules.TYPE_WEIGHT).otherwise(0).alias("box"), (_has(low, rules.LIST_TOTALS) & _has(low, rules.LIST_HEADER)).alias("first_page"), (F.trim(raw) == "").alias("blank"),
+        F.when(_has(raw, rules.TYPE_BOX), rules.TYPE_WEIGHT).otherwise(0).alias("box"), (_has(low, rules.LIST_TOTALS) & _has(low, rules.LIST_HEADER)).alias("first_page"), raw.rlike(r"^\s*$").alias("blank"),
     )
 
     def total(s: Column) -> Column:
@@ -81,7 +88,7 @@ def with_fallback(pages: DataFrame, read_again, short: int = 40) -> DataFrame:
     that adds second_text); the second verdict holds if it ranks or scores higher. The costly reader
     only ever sees the pages that need it."""
     cheap = classify(pages)
-    need = (F.length(F.trim(F.coalesce("text", F.lit("")))) < short) | (F.col("family") == "INDETERMINE")
+    need = (F.length(F.regexp_replace(_spaced(F.col("text")), r"^\s+|\s+$", "")) < short) | (F.col("family") == "INDETERMINE")
     again = classify(read_again(cheap.filter(need)), "second_text", "b_")
     wins = (rank(F.col("b_family")) > rank(F.col("family"))) | (F.col("b_score_pos") > F.col("score_pos"))
     pick = {c: F.when(wins, F.col(f"b_{c}")).otherwise(F.col(c)) for c in ("family", "score_pos", "score_neg")}

@@ -23,4 +23,7 @@ def test_every_line_gets_its_page(spark):
                 page, n, room = page + 1, 0, 0.0
             n, room = n + 1, room + h
             want[doc, page] += 1
+        if n > 1 and room + 30.0 > 120.0:  # the closing block needs room below the last page's lines
+            want[doc, page] -= 1
+            want[doc, page + 1] += 1
     assert {(r.doc, r.page): r.lines for r in catalogue.QUERIES["paginate_all"](spark, SF).collect()} == dict(want)

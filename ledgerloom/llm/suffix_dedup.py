@@ -14,7 +14,9 @@ all suffixes; what is sorted across the cluster is only what can still be ambigu
    Anchors that share it are settled: all their windows repeat, however many there are.
 3. One anchor of each remaining context represents it. It is refined by the identifiers at half the
    length right and left of it: windows reach half the length at least to one side.
-4. What is left is compared window by window, by the identifiers at depth ``length``.
+4. What is left is compared window by window, by the identifiers at depth ``length``. Equal windows
+   share the bucket of step 3, so a bucket's windows meet in one part and a context's matches come
+   back together; only a bucket of more than ``BUCKET_WINDOWS`` windows is dealt out by window.
 
 Identifiers are 64-bit and compared with a second one: the q-gram's, or 32 bits of another pairing. Cases: a null text
 counts as empty; texts shorter than ``length`` keep everything; repeated rows cover each other; a
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, release
 
 LENGTH, ROUNDS = 400, 4
+#: Windows that a sending task packs at once, that a receiving task sorts on average, and that a bucket
+#: may bring to one part.
+PACK_WINDOWS, TASK_WINDOWS, BUCKET_WINDOWS = 1_000_000, 700_000, 350_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D | 1
 _LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,23 +162,23 @@ def candidates(slim: DataFrame, scratch: Scratch, length: int = LENGTH, rounds:
     return out
 
 
-def representatives(cand: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def representatives(cand: DataFrame, scratch: Scratch, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """Contexts of the buckets that have several, one row each (members, and the first of them), and
-    those of them that can share a window with another."""
+    those of them that can share a window with another, with the number of parts that the windows of
+    their right and left bucket are dealt over (0: the bucket has no other context)."""
     mixed = cand.filter("NOT whole")
     first = F.min(F.struct("doc_id", "doc", "pos", "first", "last")).alias("f")
     contexts = mixed.groupBy("gram", "root").agg(F.count("*").alias("members"), first, F.max("rh").alias("rh"), F.max("lh").alias("lh"))
     contexts = scratch.keep(contexts.select("gram", "root", "members", "f.*", "rh", "lh"), "contexts")
-    side = lambda c: contexts.filter(f"{c} <> 0").groupBy("gram", c).agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gram").alias("g"), F.col(c).alias("h"))
+    side = lambda c: contexts.filter(f"{c} <> 0").groupBy("gram", c).agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gram").alias("g"), F.col(c).alias("h"), "k")
     right, left = scratch.keep(side("rh"), "right"), scratch.keep(side("lh"), "left")
-    marked = contexts.join(right.withColumn("has_r", F.lit(True)), (F.col("gram") == F.col("g")) & (F.col("rh") == F.col("h")), "left").drop("g", "h")
-    marked = marked.join(left.withColumn("has_l", F.lit(True)), (F.col("gram") == F.col("g")) & (F.col("lh") == F.col("h")), "left").drop("g", "h")
-    marked = marked.withColumn("has_r", F.coalesce("has_r", F.lit(False))).withColumn("has_l", F.coalesce("has_l", F.lit(False)))
-    return contexts, scratch.keep(marked.filter("has_r OR has_l"), "representatives")
+    marked = contexts.join(right.withColumnRenamed("k", "kr"), (F.col("gram") == F.col("g")) & (F.col("rh") == F.col("h")), "left").drop("g", "h")
+    marked = marked.join(left.withColumnRenamed("k", "kl"), (F.col("gram") == F.col("g")) & (F.col("lh") == F.col("h")), "left").drop("g", "h")
+    dealt = lambda k: F.coalesce(F.ceil(F.col(k) * (length // 2 + 1) / BUCKET_WINDOWS), F.lit(0)).cast("int")
+    marked = marked.withColumns({"to_r": dealt("kr"), "to_l": dealt("kl")}).drop("kr", "kl")
+    return contexts, scratch.keep(marked.filter("to_r > 0 OR to_l > 0"), "representatives")
 
 
-#: Windows that a sending task packs at once, and that a receiving task sorts on average.
-PACK_WINDOWS, TASK_WINDOWS = 1_000_000, 700_000
 _PACKED = "part int, windows binary, checks binary, starts binary, ids array<bigint>, docs array<bigint>, counts array<int>"
 
 
@@ -187,7 +192,7 @@ def _send(parts: int, length: int, rounds: int):
         held, n, names, last = [], 0, [], None
 
         def pack() -> Iterator[pa.RecordBatch]:
-            ids, checks, starts = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, checks, starts, parts_of = (np.concatenate(c) for c in zip(*held, strict=True))
             owner = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
             order = np.lexsort((checks, ids))
             same = (ids[order[1:]] == ids[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
@@ -195,7 +200,7 @@ def _send(parts: int, length: int, rounds: int):
             met = later | np.concatenate((same, [False]))
             matched = np.sort(order[met])
             send = np.sort(order[~later])
-            part = ((ids[send] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+            part = parts_of[send]
             by = np.argsort(part, kind="stable")
             rows = [(-1 - k % parts, m, False) for k, m in enumerate(np.array_split(matched, max(1, len(matched) // 50_000))) if len(m)]
             part, send = part[by], send[by]
@@ -216,17 +221,24 @@ def _send(parts: int, length: int, rounds: int):
                         continue
                     last = doc_id, doc
                     ids = buckets(text.encode(), length, rounds)
-                    spans = []
-                    for r in reps:
-                        lo = r["first"] if r["has_l"] else max(r["first"], r["pos"] - (half - q) + 1)
-                        hi = r["last"] if r["has_r"] else min(r["last"], r["pos"] - half - 1)
-                        if lo <= hi:
-                            spans.append(np.arange(lo, hi + 1, dtype=np.uint32))
-                    if not spans:
+                    pos, first, end, to_r, to_l = np.array([(r["pos"], r["first"], r["last"], r["to_r"], r["to_l"]) for r in reps], np.int64).T
+                    lo = np.where(to_l > 0, first, np.maximum(first, pos - (half - q) + 1))
+                    hi = np.where(to_r > 0, end, np.minimum(end, pos - half - 1))
+                    many = np.maximum(hi - lo + 1, 0)
+                    if not many.sum():
                         continue
-                    starts = np.concatenate(spans)
+                    rep = np.repeat(np.arange(len(pos)), many)
+                    starts = (np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many) + lo[rep]).astype(np.uint32)
+                    # the bucket that all windows equal to one of these share, and its number of parts
+                    grams, halves = ids[0][pos], ids[-2]
+                    right = _join(grams, halves[np.minimum(pos, len(halves) - 1)])
+                    left = _join(~grams, halves[np.maximum(pos + q - half, 0)])
+                    on_right = pos[rep] - starts <= half
+                    over = np.where(on_right, to_r[rep], to_l[rep]).astype(np.uint64)
+                    bucket = np.where(on_right, right[rep], left[rep]) + (ids[-1][starts] >> np.uint64(20)) % over
+                    part = ((_mix(bucket) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
                     check = _mix(ids[-2][starts] * _K3 + ids[-2][starts + half]).astype(np.uint32)
-                    held.append((ids[-1][starts], check, starts))
+                    held.append((ids[-1][starts], check, starts, part))
                     names.append((doc_id, doc))
                     n += len(starts)
                     if n >= PACK_WINDOWS:
@@ -284,13 +296,13 @@ def repeated(slim: DataFrame, scratch: Scratch, length: int = LENGTH, rounds: in
     string of ``length`` bytes starts elsewhere too, per document that has any."""
     spark = slim.sparkSession
     cand = candidates(slim, scratch, length, rounds)
-    contexts, reps = representatives(cand, scratch)
+    contexts, reps = representatives(cand, scratch, length)
     shared = contexts.filter("members > 1").select(F.col("gram").alias("g"), F.col("root").alias("r"))
     mixed = cand.filter("NOT whole").join(shared, (F.col("gram") == F.col("g")) & (F.col("root") == F.col("r")), "left_semi")
     settled = cand.filter("whole").unionByName(mixed).select("doc_id", "doc", F.struct("first", "last").alias("span"))
     total = reps.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
     parts = max(8, -(-total // TASK_WINDOWS))
-    todo = reps.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("pos", "first", "last", "has_r", "has_l")).alias("reps"))
+    todo = reps.groupBy("doc_id", "doc").agg(F.collect_list(F.struct("pos", "first", "last", "to_r", "to_l")).alias("reps"))
     sent = _same_doc(slim, todo, "inner").select("doc_id", "doc", "text", "reps").mapInArrow(_send(parts * 4, length, rounds), _PACKED)
     met = scratch.keep(sent.repartition(parts, "part").mapInArrow(_meet, _MATCHED), "met")
     del sent

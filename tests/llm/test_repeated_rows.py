@@ -41,3 +41,23 @@ def test_query_equals_brute_force(spark):
     out = suffix_dedup.op10_suffix_dedup(spark, SF)
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, [tuple(s) for s in r.spans]) for r in out.collect()]
     assert sorted(got) == sorted(want) and out.filter(F.col("repeated") != (F.col("n_removed") > 0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.BUCKET_WINDOWS, 300])
+def test_buckets_dealt_over_parts(spark, monkeypatch, most):
+    """One passage in very many contexts, whole and in pieces, with buckets met in one part and in many."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", most)
+    draw = random.Random(5)
+    passage = bytes(draw.choices(b"abcdefgh ", k=900)).decode()
+    noise = lambda: bytes(draw.choices(b"ijklmnop ", k=draw.randrange(300))).decode()
+    texts = []
+    for k in range(150):
+        a = draw.randrange(500)
+        piece = passage[a : a + draw.randrange(200, 900)]
+        texts.append(noise() + piece + (piece[:410] if k % 9 == 0 else "") + noise())
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {k: len({j for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for j in range(i, i + 400)}) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == want

@@ -109,7 +109,9 @@ def plausible_movement(c: Column) -> Column:
 def movement_candidates(text: Column) -> Column:
     """Every plausible identifier in any window of the text's letters and digits, first seen first."""
     x = F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", ""))
-    windows = F.when(F.length(x) >= 18, F.transform(F.sequence(F.lit(1), F.length(x) - 17), lambda i: normalise_movement(F.substr(x, i, F.lit(18))))).otherwise(F.array().cast("array<string>"))
+    # repair leaves the year and the country as they are, so few windows are worth building
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - 17, F.lit(1))), lambda i: F.substr(x, i, F.lit(4)).rlike("^2[0-9][A-Z]{2}$"))
+    windows = F.transform(starts, lambda i: normalise_movement(F.substr(x, i, F.lit(18))))
     return F.array_distinct(F.filter(windows, plausible_movement))
 
 

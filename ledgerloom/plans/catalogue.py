@@ -606,3 +606,6 @@ def stream_watch(spark, sf):
 
     watch.watch(spark, f"{sf}/events*.parquet", schema, work, f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/result").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+from . import printed  # noqa: E402, F401  (registers its queries here)

@@ -226,6 +226,13 @@ def json_soft(c: Column) -> Column:
     return F.coalesce(F.try_parse_json(c), F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
 
 
+def clean_announcement(c: Column) -> Column:
+    """An announcement number as scans show it: tidied, no colon between digits, ``PMP n`` where it is one."""
+    x = F.regexp_replace(clean_digits(clean_text(c)), r"(?<=\d)\s*:\s*(?=\d)", "")
+    number = found(F.replace(x, F.lit(" "), F.lit("")), r"(?i)\bPMP[\s_\-]?(\d{4,})")
+    return F.coalesce(F.concat(F.lit("PMP "), number), x)
+
+
 def transport_label(c: Column, rules: list[tuple[str, str]]) -> Column:
     """The first label whose pattern matches; null if none does."""
     out = F.lit(None).cast("string")

@@ -73,3 +73,35 @@ def to_json_documents(announcements: DataFrame, batch: str) -> DataFrame:
     """key and json, one document a batch: the announcement sink's rows."""
     rest = [c for c in announcements.columns if c != batch]
     return announcements.select(F.col(batch), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def keep_new(facts: DataFrame, batch: str, order: list[str], always: str = "MRN") -> DataFrame:
+    """facts (label, value) of a batch's declarations, a pair only where it comes first; labels of
+    identifiers always stay."""
+    w = W.partitionBy(batch, "label", "value").orderBy(*order)
+    return facts.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") == 1) | (F.col("label") == always)).drop("_n")
+
+
+def route(status: Column, name: Column, taken: Column, stamp: Column) -> Column:
+    """The path of a rendered announcement: its folder by the gate, the time appended where the name is taken."""
+    folder = F.when(status == "ready", "Prets_a_remettre").otherwise("A_verifier")
+    return F.concat(folder, F.lit("/"), name, F.when(taken, F.concat(F.lit("_"), stamp)).otherwise(""), F.lit(".pdf"))
+
+
+def wrap(text: Column, most: int) -> Column:
+    """Lines of at most ``most`` characters, words kept whole unless one alone is longer; one empty line
+    for an empty text. Widths are characters: a renderer with a font brings its own measure."""
+    pieces = F.flatten(F.transform(F.split(text, " "), lambda w: F.regexp_extract_all(w, F.lit(f"(?s)(.{{1,{most}}})"), F.lit(1))))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def step(acc: Column, w: Column) -> Column:
+        fits = (acc["line"] == "") | (F.length(acc["line"]) + 1 + F.length(w) <= most)
+        longer = F.when(acc["line"] == "", w).otherwise(F.concat(acc["line"], F.lit(" "), w))
+        return F.struct(F.when(fits, acc["lines"]).otherwise(F.array_append(acc["lines"], acc["line"])).alias("lines"), F.when(fits, longer).otherwise(w).alias("line"))
+
+    return F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["lines"], acc["line"]))
+
+
+def journal(lines: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """One report a run: its lines (line) in order."""
+    return lines.groupBy(run).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n").alias("report"))

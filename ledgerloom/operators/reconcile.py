@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import digits, page_number
+from ..functions.scalars import date_fr, digits, page_number
 
 HEADERS = ("TRANSIT_TAD", "TRANSIT_TCH", "TRANSIT_FR", "ANNONCE_CW", "ANNONCE_CW_INV")
 
@@ -93,3 +93,52 @@ def batch_guard(declarations: DataFrame, batch: str) -> DataFrame:
     agg = declarations.groupBy(batch).agg((F.count(m) != F.count_distinct(m)).alias("repeated"), F.bool_or(F.col("decl_id").isNull()).alias("unreadable"), F.bool_or(F.size("reasons") > 0).alias("doubt"))
     status = F.when(F.col("unreadable"), "nothing produced").when(F.col("repeated"), "refused").when(F.coalesce("doubt", F.lit(False)), "to verify").otherwise("ready")
     return agg.select(batch, status.alias("status"))
+
+
+#: A well-formed movement.
+MOVEMENT = r"^\d{2}[A-Z]{2}[A-Z0-9]{14}$"
+
+
+def waybill_fallback(declarations: DataFrame, waybills: DataFrame, pages: DataFrame) -> DataFrame:
+    """waybill_for with its two rules for whole files: with notes of more than one shipment nobody gets
+    one (and is told); else a declaration without a match takes the file's first note if the file has
+    one national page. pages: file_id, page, family."""
+    name = F.coalesce(F.nullif("waybill", F.lit("")), F.nullif("reference", F.lit("")))
+    note = F.struct("page", "waybill", "designation", "net", "gross")
+    notes = waybills.groupBy("file_id").agg(F.count_distinct(name).alias("_groups"), F.min_by(note, "page").alias("_only"))
+    national = pages.groupBy("file_id").agg(F.count_if(F.col("family") == "TRANSIT_TCH").alias("_national"))
+    own = waybill_for(declarations, waybills).select(F.col("decl_id").alias("_d"), F.when(F.col("page").isNotNull(), note).alias("_own"))
+    d = declarations.join(own, F.col("decl_id") == F.col("_d"), "left").join(notes, "file_id", "left").join(national, "file_id", "left")
+    several = F.coalesce(F.col("_groups") > 1, F.lit(False))
+    taken = F.when(~several, F.coalesce("_own", F.when(F.col("_national") == 1, F.col("_only"))))
+    return d.withColumns({"note": taken, "several_notes": several}).select("file_id", "decl_id", "note.*", "several_notes")
+
+
+def apply_headers(declarations: DataFrame, headers: DataFrame) -> DataFrame:
+    """declarations (mrn, dm, warnings) with the remote header of exactly their movement (mrn, lrn,
+    arrival, customs_status, phase, office, movement): it proves the movement, its number replaces the
+    announcement's, and its other facts come as ordered labels and values. Without one: a warning. Of
+    several headers of one movement the first by key counts."""
+    h = headers.filter(F.coalesce("mrn", F.lit("")) != "").groupBy(F.col("mrn").alias("_m")).agg(F.min_by(F.struct("key", "lrn", "arrival", "customs_status", "phase", "office", "movement"), "key").alias("_h"))
+    d = declarations.join(h, F.col("mrn") == F.col("_m"), "left")
+    some = lambda c: F.nullif(F.col(f"_h.{c}"), F.lit(""))
+    arrival = F.trim(F.concat_ws(" ", date_fr(some("arrival")), F.nullif(F.substring(some("arrival"), 12, 5), F.lit(""))))
+    facts = {"Date d'arrivée": F.when(some("arrival").isNotNull(), arrival), "Statut douane": some("customs_status"), "Phase": some("phase"), "Bureau de destination": some("office"), "Type de mouvement": F.concat(some("movement"), F.lit(" (arrivée)"))}
+    pairs = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("label"), v.alias("value"))) for k, v in facts.items()]))
+    found = F.col("_m").isNotNull()
+    said = F.when(found, F.when(some("lrn").isNotNull(), F.array_remove("warnings", "announcement number missing")).otherwise(F.col("warnings"))).otherwise(F.col("warnings"))
+    last = F.when(found, "header completed").otherwise("no header of this movement")
+    return d.withColumns({"verified": found, "evidence": F.col("_h.key"), "dm": F.coalesce(some("lrn"), "dm"), "facts": pairs, "warnings": F.array_append(said, last)}).drop("_m", "_h")
+
+
+def finalise(declarations: DataFrame) -> DataFrame:
+    """declarations (mrn, dm, date, file_date, file, lines, goods_source, incomplete, gap, warnings) with
+    what is still missing filled, and confidence: high only with both numbers, a readable line, nothing
+    incomplete, no gap and no doubt about the movement. Lines are structs with designation."""
+    mrn, dm = F.nullif(F.col("mrn"), F.lit("")), F.nullif(F.col("dm"), F.lit(""))
+    shape = F.when(mrn.isNull(), "movement not found: to verify").when(~mrn.rlike(MOVEMENT), "movement malformed: to verify")
+    warned = F.array_distinct(F.concat("warnings", F.array_compact(F.array(shape, F.when(dm.isNull(), "announcement number missing")))))
+    doubt = F.exists(warned, lambda x: F.contains(x, F.lit("movement")) & F.contains(x, F.lit("to verify")))
+    readable = F.exists("lines", lambda x: F.coalesce(F.trim(x["designation"]), F.lit("")) != "")
+    high = mrn.isNotNull() & dm.isNotNull() & F.coalesce(readable, F.lit(False)) & ~F.coalesce("incomplete", F.lit(False)) & ~F.coalesce("gap", F.lit(False)) & ~doubt
+    return declarations.withColumns({"date": F.coalesce("date", date_fr(F.col("file_date"))), "file": F.coalesce(F.nullif("file", F.lit("")), mrn), "goods_source": F.coalesce(F.nullif("goods_source", F.lit("")), F.lit("transit document")), "confidence": F.when(high, "high").otherwise("low"), "warnings": warned})

@@ -73,3 +73,59 @@ RICH = r"\b(description|designation|quantit|qty|unit price|total|hs code|tariff|
 RANK = {"INDETERMINE": 0, "ENVELOPPE": 1, "ANNEXE": 1, "EXPORT": 2}
 #: Families without transit data.
 OFF_TOPIC = ("EXPORT", "ANNEXE", "ENVELOPPE", "INDETERMINE")
+#: Families a model reads first, and next.
+FIRST_READ = ("TRANSIT_TAD", "TRANSIT_TCH", "TRANSIT_FR", "ANNONCE_CW", "ANNONCE_CW_INV")
+SECOND_READ = ("ANNONCE_CW_LISTE", "TRANSIT_LISTE")
+#: The labels of transport facts and what a model calls them.
+TRANSPORT_LABELS = [
+    (r"v[ée]hicule|mode|means of transport", "Véhicule / mode"),
+    (r"scell[ée]|seal", "Scellés"),
+    (r"pays de destination|country of destin", "Pays de destination"),
+    (r"terme ultime|ultimate", "Terme ultime"),
+    (r"garantie|guarantee", "Garantie"),
+    (r"bureau de d[ée]part|office of departure", "Bureau de départ"),
+    (r"bureau de destination|office of destin", "Bureau de destination"),
+    (r"masse brute|gross mass|poids brut", "Masse brute totale"),
+    (r"masse nette|net mass|poids net", "Masse nette totale"),
+    (r"colis|package|parcel", "Nbre de colis"),
+    (r"conteneur|container", "N° de conteneur"),
+    (r"exp[ée]dition|shipment", "Réf. d'expédition"),
+]
+#: A vehicle names its way of transport.
+VEHICLE = r"(?i)route|rail|fer|mer|maritim|air|a[ée]rien|postal|camion|wagon|navire|avion|routier"
+#: What stands before a commodity code inside a designation.
+CODE_PREFIX = r"(?i)[,;]?\s*(?:tc|t\.c|ta|code|hs|nc|sh)\s*[:.]?\s*"
+#: The older finder with four classes.
+FOUR_FOR = [
+    (r"d[ée]claration de marchandises en transit", 6),
+    (r"transit national", 5),
+    (r"document d.accompagnement[- ]?transit", 6),
+    (r"transit accompanying document", 6),
+    (r"begleitdokument[- ]?versand|versandbegleitdokument", 6),
+    (r"titulaire du r[ée]gime de transit", 4),
+    (r"\bgdrn\b", 3),
+    (r"d[ée]lai de transit", 3),
+    (r"bureau de destination", 2),
+    (r"principal oblig[ée]", 2),
+    (r"\bt2l\b|\bt2f\b", 4),
+]
+FOUR_TYPE, FOUR_TYPE_WEIGHT = r"(?m)\btype\b[^\n]{0,40}\b(t1|t2|t2l|t2f)\b|\bdeclaration\b[^\n]{0,20}\b(t1|t2)\b|^\s*(t1|t2|t2l|t2f)\s*$", 5
+FOUR_EXPORT = [
+    (r"export accompanying document", 8),
+    (r"document d.accompagnement[- ]?export", 8),
+    (r"wywozowy dokument towarzysz", 8),
+    (r"ausfuhrbegleitdokument", 8),
+    (r"eu export declaration", 8),
+    (r"d[ée]claration d.exportation", 7),
+    (r"\bead\b", 5),
+]
+FOUR_OTHER = [
+    (r"dokument e-?ad|e-?ad\b|administrative accompanying", 6),
+    (r"proforma invoice|commercial invoice|packing list", 5),
+    (r"\bcmr\b|consignment note|lettre de voiture", 4),
+    (r"air waybill|\bawb\b\s*no", 3),
+    (r"from:\s|sent:\s|subject:|objet\s*:", 4),
+    (r"certificate of origin|eur\.?1", 4),
+]
+FOUR_MOVEMENT = r"(?i)\b\d{2}[A-Z]{2}[0-9A-Z]{12,}"
+FOUR_SWISS = r"transit national|\bgdrn\b"

@@ -4,6 +4,9 @@ Missing is null throughout; sentinels are written only by the last projection of
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -239,3 +242,35 @@ def transport_label(c: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, label in reversed(rules):
         out = F.when(F.lower(c).rlike(pattern), label).otherwise(out)
     return out
+
+
+def json_balanced(c: Column) -> Column:
+    """The first balanced object of an answer as a variant, fences of code aside; braces are counted
+    within strings too. A fold over braces and what lies between, so it keeps counts, not texts."""
+    x = F.regexp_replace(F.trim(c), r"(?m)^```(?:json)?|```$", "")
+    x = F.regexp_extract(x, r"(?s)\{.*", 0)
+    parts = F.regexp_extract_all(x, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = s["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["length"] + F.length(p)).alias("length"), (depth == 0).alias("done")))
+
+    end = F.aggregate(parts, start, step)
+    return F.when(end["done"], F.try_parse_json(F.substr(x, F.lit(1), end["length"])))
+
+
+def _bare(text: str) -> str:
+    letters = (x for x in unicodedata.normalize("NFD", text) if unicodedata.category(x) != "Mn")
+    return " ".join("".join(letters).casefold().split())
+
+
+def accent_key(c: Column) -> Column:
+    """Text without accents and case, one space between words, as a value. Letters are decomposed in
+    Arrow batches, as no built-in function does; to compare only, the collation UNICODE_CI_AI is cheaper."""
+
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(_bare, na_action="ignore")
+
+    key.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(key, "string")(c)

@@ -107,3 +107,23 @@ def useful(family: Column) -> Column:
 
 def transport(family: Column) -> Column:
     return family.startswith("TRANSIT") | family.startswith("ANNONCE_CW")
+
+
+def four_classes(text: Column) -> Column:
+    """struct(class, kind, score_pos, score_neg) by the older finder: titles of exports first, then
+    transit by its marks (fewer do beside a movement), then other papers."""
+    raw = _spaced(text)
+    low = F.lower(raw)
+    scores = F.struct(
+        (_sum(low, rules.FOUR_FOR) + F.when(_has(low, rules.FOUR_TYPE), rules.FOUR_TYPE_WEIGHT).otherwise(0)).alias("pos"), _sum(low, rules.FOUR_EXPORT).alias("export"), _sum(low, rules.FOUR_OTHER).alias("other"),
+        _has(raw, rules.FOUR_MOVEMENT).alias("movement"), _has(low, rules.FOUR_SWISS).alias("swiss"),
+    )
+
+    def decide(s: Column) -> Column:
+        transit = (s["pos"] >= 6) | ((s["pos"] >= 4) & s["movement"])
+        name = F.when(s["export"] >= 7, "EXPORT").when(transit, "TRANSIT").when(s["other"] >= 4, "AUTRE").otherwise("INDETERMINE")
+        kind = F.when((s["export"] < 7) & transit, F.when(s["swiss"], "TCH").otherwise("T1/T2"))
+        neg = F.when((s["export"] < 7) & ~transit & (s["other"] >= 4), s["other"]).otherwise(s["export"] + s["other"])
+        return F.struct(name.alias("class"), kind.alias("kind"), s["pos"].alias("score_pos"), neg.alias("score_neg"))
+
+    return _let(scores, decide)

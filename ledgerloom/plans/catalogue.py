@@ -608,4 +608,4 @@ def stream_watch(spark, sf):
     return spark.read.parquet(f"{out}/result").groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-from . import combined, printed  # noqa: E402, F401  (they register their queries here)
+from . import combined, completed, printed  # noqa: E402, F401  (they register their queries here)

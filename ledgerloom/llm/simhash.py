@@ -44,9 +44,10 @@ TASK_VARIANTS, PACK_VARIANTS = 1_250_000, 1_500_000
 #: Near-dedup: similarity of shingle sets that links, words of a signature, orders in which its bits
 #: are cut into 32-bit parts, and radius within a part.
 SIMILARITY, WORDS, ORDERS, PART_RADIUS = 0.8, 4, 4, 2
-#: Candidates differ in at most FAR bits of 64 (similar texts in about 10, others in about 32). Up to
-#: ALL_PAIRS nodes at one variant meet in all pairs, more of them with the first and the NEXT ones.
-FAR, ALL_PAIRS, NEXT, STAND = 20, 8, 2, 2
+#: Candidates differ in at most FAR bits of 64 (similar texts in about 10, others in about 32). At first up
+#: to ALL_PAIRS nodes at one variant meet in all pairs, more of them with the first and the NEXT ones; those
+#: that did not meet in all pairs do so at the end, MEET_PAIRS at once.
+FAR, ALL_PAIRS, NEXT, STAND, MEET_PAIRS = 20, 8, 2, 2, 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -271,11 +272,13 @@ def _send_parts(passes: int, this: int, parts: int):
     return run
 
 
-def _meet_parts(most: int, beyond: int):
+def _meet_parts(most: int | None, beyond: int = 0):
     """Candidate pairs of nodes that share a variant, differ in at most FAR bits of their first word and
-    are not known to be linked; of nodes known to be linked STAND stand at a variant for all. Up to ``most``
-    nodes at a variant meet in all pairs; of more, each meets the first and the next ``beyond``. Two
-    nodes share all variants of a part or two: the pair is handed on at the part itself or the lesser."""
+    are not known to be linked; with no ``most``, all of them. Otherwise of nodes known to be linked STAND
+    stand at a variant for all, and up to ``most`` nodes at a variant meet in all pairs; of more, each
+    meets the first and the next ``beyond``. Where that leaves pairs out, every node of the variant comes
+    out as a pair with itself too. Two nodes share all variants of a part or two: the pair is handed on
+    at the part itself or the lesser."""
 
     ball = masks(PART_RADIUS // 2, 32)
 
@@ -296,10 +299,37 @@ def _meet_parts(most: int, beyond: int):
         hit = shared[np.minimum(np.searchsorted(shared, v), len(shared) - 1)] == v
         v, node, word, label, flip = v[hit], node[hit], word[hit], node[hit] ^ mark[hit], flip[hit]
         order = np.lexsort((node, label, v))
-        v, label = v[order], label[order]
+        v, node, word, label, flip = v[order], node[order], word[order], label[order], ball[flip[order]]
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = (np.bitwise_count(word[a] ^ word[b]) <= FAR) & (label[a] != label[b])
+            ok &= np.where(flip[a] == flip[b], flip[a] == 0, v[a] < v[a] ^ flip[a] ^ flip[b])
+            return np.unique(np.sort(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=1), axis=0)
+
+        def rows(pair: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+
+        new = np.concatenate(([True], v[1:] != v[:-1]))
+        if most is None:
+            # a node meets what comes after the nodes of its own label, up to the end of its variant
+            run_new = new | np.concatenate(([True], label[1:] != label[:-1]))
+            ends = lambda x: np.repeat(np.append(np.flatnonzero(x)[1:], len(v)), np.diff(np.append(np.flatnonzero(x), len(v))))
+            start, many = ends(run_new), ends(new) - ends(run_new)
+            upto = np.cumsum(many)
+            at = 0
+            while at < len(v) and upto[-1] > (done := upto[at - 1] if at else 0):
+                to = max(at + 1, int(np.searchsorted(upto, done + MEET_PAIRS, "right")))
+                n = many[at:to]
+                a = np.repeat(np.arange(at, to), n)
+                yield rows(near(a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + start[a]))
+                at = to
+            return
         lead = np.concatenate((np.ones(min(STAND, len(v)), bool), (v[STAND:] != v[:-STAND]) | (label[STAND:] != label[:-STAND])))
-        order, v, label = order[lead], v[lead], label[lead]
-        node, word, flip = node[order], word[order], ball[flip[order]]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(v)) - 1
+        cut = (label[at] != label[last]) & ((np.add.reduceat(lead, at) > most) | ~np.logical_and.reduceat(lead, at))
+        left = np.unique(node[np.repeat(cut, last - at + 1)])
+        v, node, word, label, flip = v[lead], node[lead], word[lead], label[lead], flip[lead]
         at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         size = np.diff(np.append(at, len(v)))
         first, small = np.repeat(at, size), np.repeat(size <= most, size)
@@ -309,11 +339,8 @@ def _meet_parts(most: int, beyond: int):
             i = np.flatnonzero((v[d:] == v[:-d]) & (small[d:] | (d <= beyond)))
             a.append(i)
             b.append(i + d)
-        a, b = np.concatenate(a), np.concatenate(b)
-        near = (np.bitwise_count(word[a] ^ word[b]) <= FAR) & (label[a] != label[b])
-        near &= np.where(flip[a] == flip[b], flip[a] == 0, v[a] < v[a] ^ flip[a] ^ flip[b])
-        pair = np.unique(np.stack([node[a[near]], node[b[near]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+        yield rows(near(np.concatenate(a), np.concatenate(b)))
+        yield rows(np.stack([left, left], axis=1))
 
     return run
 
@@ -333,25 +360,28 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMI
     """u, v bigint: links between text hashes of docs (_x_hash, text) whose texts have at least that
     similarity of shingle sets, enough for components. Signature parts are ball-hashed for candidates,
     and every candidate pair's similarity is counted exactly from the texts. The first slice goes
-    through once before the others with few pairs a node: what it links need not be paired again,
-    so a large group of near copies is not paired in all ways."""
+    through once before the others with few pairs a node, then all slices with few pairs where many
+    meet: what these link need not be paired again, so a large group of near copies is not paired in
+    all ways. Then the nodes of every variant where pairs were left out go through all slices again and
+    meet in all pairs that are neither linked nor verified yet, so that no candidate is lost."""
     spark = docs.sparkSession
     sigs = docs.select("_x_hash", "text").mapInArrow(_signatures(shingle), "node bigint, sig binary")
     sigs = scratch.keep(scratch.keep(sigs, "rows").distinct(), "signatures")
-    n = sigs.count()
-    variants = n * len(masks(PART_RADIUS // 2, 32)) * (WORDS * 64 // 32) * ORDERS
-    parts = max(8, -(-variants // (passes * TASK_VARIANTS)))
-    senders = max(8, -(-n // 4096))
 
-    def candidates(marked: DataFrame, this: int, most: int, beyond: int, name: str) -> DataFrame:
-        sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary, flips binary")
-        met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet_parts(most, beyond), "u bigint, v bigint"), name)
-        del sent
-        release(spark)
-        return met
+    def candidates(marked: DataFrame, n: int, slices: range, most: int | None, beyond: int, name: str) -> DataFrame:
+        variants = n * len(masks(PART_RADIUS // 2, 32)) * (WORDS * 64 // 32) * ORDERS
+        parts = max(8, -(-variants // (passes * TASK_VARIANTS)))
+        senders = max(8, -(-n // 4096))
+        out = None
+        for this in slices:
+            sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary, flips binary")
+            met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet_parts(most, beyond), "u bigint, v bigint"), f"met-{name}{this}")
+            out = met if out is None else out.unionByName(met)
+            del sent
+            release(spark)
+        return out
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.keep(pairs.distinct(), f"pairs-{name}")
         nodes = scratch.keep(pairs.select(F.col("u").alias("_x_hash")).union(pairs.select("v")).distinct(), f"nodes-{name}")
         texts = docs.select("_x_hash", "text").join(nodes, "_x_hash", "left_semi").mapInArrow(_sets(shingle), "node bigint, hashes array<bigint>")
         sets = scratch.keep(texts.dropDuplicates(["node"]), f"sets-{name}")
@@ -364,14 +394,23 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMI
         release(spark)
         return links
 
-    early = verified(candidates(sigs.withColumn("mark", F.lit(0).cast("long")), 0, 1, 1, "early"), "early")
-    root = components(early, scratch).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    marks = sigs.join(root, "node", "left").select("node", "sig", F.coalesce(F.col("node").bitwiseXOR(F.col("root")), F.lit(0)).alias("mark"))
-    marks, pairs = scratch.keep(marks, "marks"), None
-    for this in range(passes):
-        met = candidates(marks, this, ALL_PAIRS, NEXT, f"pairs{this}")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return early.unionByName(verified(pairs, "rest"))
+    def marks(root: DataFrame, name: str) -> DataFrame:
+        at = root.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return scratch.keep(sigs.join(at, "node", "left").select("node", "sig", F.coalesce(F.col("node").bitwiseXOR(F.col("root")), F.lit(0)).alias("mark")), name)
+
+    n = sigs.count()
+    met = candidates(sigs.withColumn("mark", F.lit(0).cast("long")), n, range(1), 1, 1, "early")
+    early = scratch.keep(met.filter("u <> v").distinct(), "pairs-early")
+    links = verified(early, "early")
+    met = candidates(marks(components(links, scratch), "marks-few"), n, range(passes), ALL_PAIRS, NEXT, "few")
+    few = scratch.keep(met.filter("u <> v").distinct(), "pairs-few")
+    cut = scratch.keep(met.filter("u = v").select(F.col("u").alias("node")).distinct(), "cut")
+    root = components(links.unionByName(verified(few, "few")), scratch)
+    if not (n := cut.count()):
+        return root
+    met = candidates(marks(root, "marks-all").join(cut, "node", "left_semi"), n, range(passes), None, 0, "all")
+    every = scratch.keep(met.distinct().join(early.unionByName(few), ["u", "v"], "left_anti"), "pairs-all")
+    return root.unionByName(verified(every, "all"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:

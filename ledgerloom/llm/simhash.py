@@ -15,6 +15,8 @@ found by star rounds on links between distinct fingerprints.
 
 ``near_dedup`` looks for texts of a given similarity of shingle sets, which one word within four bits
 mostly misses: it ball-hashes 32 parts of a signature of 256 bits and verifies each candidate pair.
+Where very many texts share parts, most of their pairs are far from similar: there sketches of the
+shingle sets prove a pair too unlike where it meets, and only the others are paired up for the count.
 
 Cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a
 shingle are hashed as one; a null doc_id counts in no component's smallest id, so a component of
@@ -48,6 +50,10 @@ SIMILARITY, WORDS, ORDERS, PART_RADIUS = 0.8, 4, 4, 2
 #: to ALL_PAIRS nodes at one variant meet in all pairs, more of them with the first and the NEXT ones; those
 #: that did not meet in all pairs do so at the end, MEET_PAIRS at once.
 FAR, ALL_PAIRS, NEXT, STAND, MEET_PAIRS = 20, 8, 2, 2, 2_000_000
+#: At the end up to LISTED nodes (at most 244,650 pairs) list all their pairs; of more, sketches of SKETCH
+#: words, compared BOUND_PAIRS at once, leave out those that cannot be similar. A task then takes a quarter
+#: of the variants, for the sketches' room.
+LISTED, SKETCH, BOUND_PAIRS, SKETCHED = 700, 32, 50_000, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -235,6 +241,33 @@ def _signatures(shingle: int):
     return run
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH words, each bit the parity of how many of a set's hashes fall on it, and the set's size."""
+    at = (((hashes * _MIX) >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.append(np.packbits(odd, bitorder="little").view(np.uint64), np.uint64(len(hashes)))
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """False only where sketches (rows) prove a Jaccard similarity below ``least``: a bit differs only by
+    an element that one set lacks, so no fewer elements than bits are in one set alone."""
+    sizes = [x[:, -1].astype(np.int64) for x in (a, b)]
+    alone = np.maximum(np.bitwise_count(a[:, :-1] ^ b[:, :-1]).sum(axis=1, dtype=np.int64), np.abs(sizes[0] - sizes[1]))
+    both = sizes[0] + sizes[1]
+    return both - alone >= (least - 1e-9) * (both + alone)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [sketch(np.unique(shingle_hashes(x or b"", shingle))).tobytes() for x in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "sketch"])
+
+    return run
+
+
 def bit_parts(sigs: np.ndarray) -> np.ndarray:
     """Rows of WORDS words to rows of 32-bit parts: the bits are cut in ORDERS orders."""
     bits = np.unpackbits(sigs.view(np.uint8).reshape(len(sigs), -1), axis=1, bitorder="little")
@@ -246,7 +279,7 @@ def bit_parts(sigs: np.ndarray) -> np.ndarray:
 def _send_parts(passes: int, this: int, parts: int):
     """The variants of one slice's signature parts (part number above, 32 bits below), packed by the
     part of the shuffle that they meet in, each with its node, the signature's first word, mark and the
-    bits that make the variant."""
+    bits that make the variant. Sketches, where nodes have them, go along once a run of one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = masks(PART_RADIUS // 2, 32)
@@ -267,14 +300,25 @@ def _send_parts(passes: int, this: int, parts: int):
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True)) if len(part) else []
                 packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (variants, nodes[row], sigs[row, 0], mark[row], flip)]
-                yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *packed], names=["part", "variants", "nodes", "words", "marks", "flips"])
+                names = ["part", "variants", "nodes", "words", "marks", "flips"]
+                if batch.num_columns > 3:
+                    held = np.frombuffer(b"".join(piece.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH + 1)
+                    packed.append(pa.array([held[row[a:b][_runs(nodes[row[a:b]])]].tobytes() for a, b in spans], pa.binary()))
+                    names.append("sketches")
+                yield pa.RecordBatch.from_arrays([pa.array([part[a] for a, _ in spans], pa.int32()), *packed], names=names)
 
     return run
 
 
-def _meet_parts(most: int | None, beyond: int = 0):
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it."""
+    return np.concatenate(([True], x[1:] != x[:-1]))
+
+
+def _meet_parts(most: int | None, beyond: int = 0, least: float = 0.0):
     """Candidate pairs of nodes that share a variant, differ in at most FAR bits of their first word and
-    are not known to be linked; with no ``most``, all of them. Otherwise of nodes known to be linked STAND
+    are not known to be linked; with no ``most``, all of them, or with sketches all that these do not prove
+    less similar than ``least``. Otherwise of nodes known to be linked STAND
     stand at a variant for all, and up to ``most`` nodes at a variant meet in all pairs; of more, each
     meets the first and the next ``beyond``. Where that leaves pairs out, every node of the variant comes
     out as a pair with itself too. Two nodes share all variants of a part or two: the pair is handed on
@@ -284,13 +328,20 @@ def _meet_parts(most: int | None, beyond: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[], [], [], [], []]
+        sketches: list[np.ndarray] = []
         for batch in batches:
+            if batch.num_columns > 6:
+                sketches += [np.frombuffer(x, np.uint64) for x in batch.column(6).to_pylist()]
             for k, kind in enumerate((np.uint64, np.int64, np.uint64, np.int64, np.uint8)):
                 got[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
         if not got[0]:
             return
         v, node, word, mark, flip = (np.concatenate(x) for x in got)
-        del got
+        if sketched := bool(sketches):
+            # the number of each one's sketch: a run of one node in what came packed together has one
+            mine = np.cumsum(np.concatenate([_runs(x) for x in got[1]])) - 1
+            held = np.concatenate(sketches).reshape(-1, SKETCH + 1)
+        del got, sketches
         s = np.sort(v)
         shared = np.unique(s[1:][s[1:] == s[:-1]])
         del s
@@ -300,11 +351,17 @@ def _meet_parts(most: int | None, beyond: int = 0):
         v, node, word, label, flip = v[hit], node[hit], word[hit], node[hit] ^ mark[hit], flip[hit]
         order = np.lexsort((node, label, v))
         v, node, word, label, flip = v[order], node[order], word[order], label[order], ball[flip[order]]
+        if sketched:
+            mine = mine[hit][order]
 
         def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             ok = (np.bitwise_count(word[a] ^ word[b]) <= FAR) & (label[a] != label[b])
             ok &= np.where(flip[a] == flip[b], flip[a] == 0, v[a] < v[a] ^ flip[a] ^ flip[b])
-            return np.unique(np.sort(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=1), axis=0)
+            a, b = a[ok], b[ok]
+            if sketched and len(a):
+                ok = np.concatenate([may_be_similar(held[mine[a[k : k + BOUND_PAIRS]]], held[mine[b[k : k + BOUND_PAIRS]]], least) for k in range(0, len(a), BOUND_PAIRS)])
+                a, b = a[ok], b[ok]
+            return np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
 
         def rows(pair: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
@@ -345,6 +402,24 @@ def _meet_parts(most: int | None, beyond: int = 0):
     return run
 
 
+def _packed(meet):
+    """The pairs that meet gives; the nodes that come out with themselves go into one row a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in meet(batches):
+            u, v = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for x, y, left in ((u[u != v], v[u != v], None), ([None], [None], u[u == v].tobytes())):
+                if left != b"":
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([left] * len(x), pa.binary())], names=["u", "v", "left"])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)))], names=["node"])
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,24 +438,31 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMI
     through once before the others with few pairs a node, then all slices with few pairs where many
     meet: what these link need not be paired again, so a large group of near copies is not paired in
     all ways. Then the nodes of every variant where pairs were left out go through all slices again and
-    meet in all pairs that are neither linked nor verified yet, so that no candidate is lost."""
+    meet in all pairs that are neither linked nor verified yet, so that no candidate is lost; if these
+    nodes are more than LISTED, their sketches settle most pairs where they meet, without an error."""
     spark = docs.sparkSession
     sigs = docs.select("_x_hash", "text").mapInArrow(_signatures(shingle), "node bigint, sig binary")
     sigs = scratch.keep(scratch.keep(sigs, "rows").distinct(), "signatures")
 
     def candidates(marked: DataFrame, n: int, slices: range, most: int | None, beyond: int, name: str) -> DataFrame:
         variants = n * len(masks(PART_RADIUS // 2, 32)) * (WORDS * 64 // 32) * ORDERS
-        parts = max(8, -(-variants // (passes * TASK_VARIANTS)))
+        sketched = "sketch" in marked.columns
+        parts = max(8, -(-variants * (SKETCHED if sketched else 1) // (passes * TASK_VARIANTS)))
         senders = max(8, -(-n // 4096))
+        packs = "part int, variants binary, nodes binary, words binary, marks binary, flips binary" + ", sketches binary" * sketched
         out = None
         for this in slices:
-            sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), "part int, variants binary, nodes binary, words binary, marks binary, flips binary")
-            met = scratch.keep(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet_parts(most, beyond), "u bigint, v bigint"), f"met-{name}{this}")
+            sent = marked.repartition(senders).mapInArrow(_send_parts(passes, this, parts), packs)
+            met = sent.repartitionById(parts, F.col("part")).mapInArrow(_packed(_meet_parts(most, beyond, least)), "u bigint, v bigint, left binary")
+            met = scratch.keep(met, f"met-{name}{this}")
             out = met if out is None else out.unionByName(met)
             del sent
             release(spark)
         return out
 
+    def pairs_of(met: DataFrame) -> DataFrame:
+        return met.filter("left is null").select("u", "v").distinct()
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         nodes = scratch.keep(pairs.select(F.col("u").alias("_x_hash")).union(pairs.select("v")).distinct(), f"nodes-{name}")
         texts = docs.select("_x_hash", "text").join(nodes, "_x_hash", "left_semi").mapInArrow(_sets(shingle), "node bigint, hashes array<bigint>")
@@ -400,16 +482,21 @@ def similar(docs: DataFrame, scratch: Scratch, shingle: int, least: float = SIMI
 
     n = sigs.count()
     met = candidates(sigs.withColumn("mark", F.lit(0).cast("long")), n, range(1), 1, 1, "early")
-    early = scratch.keep(met.filter("u <> v").distinct(), "pairs-early")
+    early = scratch.keep(pairs_of(met), "pairs-early")
     links = verified(early, "early")
     met = candidates(marks(components(links, scratch), "marks-few"), n, range(passes), ALL_PAIRS, NEXT, "few")
-    few = scratch.keep(met.filter("u <> v").distinct(), "pairs-few")
-    cut = scratch.keep(met.filter("u = v").select(F.col("u").alias("node")).distinct(), "cut")
+    few = scratch.keep(pairs_of(met), "pairs-few")
+    cut = scratch.keep(met.filter("left is not null").select("left").mapInArrow(_unpacked, "node bigint").distinct(), "cut")
     root = components(links.unionByName(verified(few, "few")), scratch)
     if not (n := cut.count()):
         return root
-    met = candidates(marks(root, "marks-all").join(cut, "node", "left_semi"), n, range(passes), None, 0, "all")
-    every = scratch.keep(met.distinct().join(early.unionByName(few), ["u", "v"], "left_anti"), "pairs-all")
+    crowd = marks(root, "marks-all").join(cut, "node", "left_semi")
+    if n > LISTED:
+        held = docs.select("_x_hash", "text").join(cut.withColumnRenamed("node", "_x_hash"), "_x_hash", "left_semi")
+        held = scratch.keep(held.mapInArrow(_sketches(shingle), "node bigint, sketch binary").dropDuplicates(["node"]), "sketches")
+        crowd = scratch.keep(crowd.join(held, "node"), "crowd")
+    met = candidates(crowd, n, range(passes), None, 0, "all")
+    every = scratch.keep(pairs_of(met).join(early.unionByName(few), ["u", "v"], "left_anti"), "pairs-all")
     return root.unionByName(verified(every, "all"))
 
 
